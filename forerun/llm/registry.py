@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe_stream, topk_search
+from . import bpe_stream, token_files, topk_search
 
 QUERIES = {
+    "op6_token_files": token_files.op6_token_files,
     "op7_bpe_stream": bpe_stream.op7_bpe_stream,
     "op10_topk_maxscore": topk_search.op10_topk_maxscore,
 }
