@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe_stream, language, quality, token_files, topk_search, toxicity
+from . import bpe_stream, language, ngram_join, quality, token_files, topk_search, toxicity
 
 QUERIES = {
     "op1_quality_gbt": quality.op1_quality_gbt,
     "op3_language_crossparse": language.op3_language_crossparse,
+    "op5_ngram_jaccard": ngram_join.op5_ngram_jaccard,
     "op6_token_files": token_files.op6_token_files,
     "op7_bpe_stream": bpe_stream.op7_bpe_stream,
     "op9_toxicity_subword": toxicity.op9_toxicity_subword,
