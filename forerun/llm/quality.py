@@ -7,6 +7,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import held_out, labelled_sample, table
 from .textkernel import Words, steps
@@ -171,3 +172,14 @@ def score(docs: DataFrame, model: Forest, cut: float = CUT) -> DataFrame:
 def op1_quality_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
+def kept(docs: DataFrame, model: Forest, cut: float = CUT) -> DataFrame:
+    """The rows, all columns, that ``score`` predicts as 1: scored in place, without a join."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def scored(text: pd.Series) -> pd.Series:
+        return pd.Series(held.value.score(features(text)), dtype=float)
+
+    return docs.where(scored("text") >= cut)
