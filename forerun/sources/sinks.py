@@ -52,7 +52,7 @@ def render(snap: dict, limit: int = 10) -> str:
     lines = ["rows: " + ", ".join(f"{k}={'-' if v is None else v}" for k, v in snap["counts"].items())]
     for name, frame in snap.items():
         if isinstance(frame, DataFrame) and "score" in frame.columns:
-            top = frame.orderBy(F.desc(F.abs("score")), "sym", "venue", "inst").limit(limit).collect()
+            top = frame.where(F.col("score").isNotNull()).orderBy(F.desc(F.abs("score")), "sym", "venue", "inst").limit(limit).collect()
             lines += [f"[{name}]"] + [f"{r['sym']} {r['venue']}/{r['inst']} {r['score']:+.3f} p={r['p_value']:.3g}" for r in top]
     lines += ["[alerts]"] + [f"{r['ts']} {r['alert_type']} {r['sym'] or '*'} {r['venue']}/{r['inst']}" for r in snap["alerts"].collect()]
     return "\n".join(lines)

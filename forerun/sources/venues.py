@@ -10,7 +10,6 @@ from ..operators import fold as K
 _LEVELS = "array<array<string>>"
 OKX = f"arg struct<channel:string,instId:string>, data array<struct<bids:{_LEVELS},asks:{_LEVELS},ts:string,instId:string,tradeId:string,px:string,sz:string,side:string>>"
 COINBASE = f"type string, product_id string, time string, trade_id long, side string, size string, price string, bids {_LEVELS}, asks {_LEVELS}, changes {_LEVELS}"
-BINANCE = "e string, E long, s string, t long, a string, p string, q string, T long, m boolean, U long, u long, pu long, b string, nq string, f long, l long"
 
 
 def micros_from_ms(text: Column) -> Column:
@@ -53,9 +52,34 @@ def coinbase_trades(messages: DataFrame) -> DataFrame:
 
 def binance_trades(messages: DataFrame, perp: bool = False) -> DataFrame:
     """Trades or aggregate trades; a buying maker means a selling aggressor."""
-    m = messages.select("recv_us", F.from_json("json", BINANCE).alias("m")).select("recv_us", "m.*").where(F.col("e") == ("aggTrade" if perp else "trade"))
-    tid = F.col("a").try_cast("long") if perp else F.col("t")
-    return m.select((F.col("E") * 1000).alias("exch_us"), (F.col("T") * 1000).alias("trade_us"), "recv_us", F.col("s").alias("sym"), number(F.col("p")).alias("px"), number(F.col("q")).alias("qty"), F.when(F.col("m"), "S").otherwise("B").alias("side"), tid.alias("tid"))
+    # field names differ by case alone, which struct fields cannot
+    f = lambda name: F.get_json_object("json", f"$.{name}")
+    long = lambda name: f(name).try_cast("long")
+    rows = messages.where(f("e") == ("aggTrade" if perp else "trade"))
+    return rows.select((long("E") * 1000).alias("exch_us"), (long("T") * 1000).alias("trade_us"), "recv_us", f("s").alias("sym"), number(f("p")).alias("px"), number(f("q")).alias("qty"), F.when(f("m") == "true", "S").otherwise("B").alias("side"), long("a" if perp else "t").alias("tid"))
+
+
+def binance_depth(messages: DataFrame) -> DataFrame:
+    """Depth updates with their sequence range and levels (price, quantity) as text pairs."""
+    f = lambda name: F.get_json_object("json", f"$.{name}")
+    long = lambda name: f(name).try_cast("long")
+    rows = messages.where(f("e") == "depthUpdate")
+    return rows.select("recv_us", "seq", (long("E") * 1000).alias("exch_us"), f("s").alias("sym"), long("U").alias("first_u"), long("u").alias("last_u"), long("pu").alias("prev_u"), F.from_json(f("b"), _LEVELS).alias("bids"), F.from_json(f("a"), _LEVELS).alias("asks"))
+
+
+def binance_quotes(messages: DataFrame, perp: bool = False) -> DataFrame:
+    """Book tickers; the spot one carries no time, so the receive time stands in."""
+    f = lambda name: F.get_json_object("json", f"$.{name}")
+    t = F.coalesce(f("E").try_cast("long") * 1000, F.col("recv_us"))
+    rows = messages.select(t.alias("exch_us"), "recv_us", f("s").alias("sym"), F.lit("BINANCE").alias("venue"), F.lit("PERP" if perp else "SPOT").alias("inst"), number(f("b")).alias("bid"), number(f("B")).alias("bidsz"), number(f("a")).alias("ask"), number(f("A")).alias("asksz"))
+    return rows.where("bid IS NOT NULL AND ask IS NOT NULL")
+
+
+def binance_marks(messages: DataFrame) -> DataFrame:
+    """Mark price, index, estimated settlement and funding of perpetuals."""
+    f = lambda name: F.get_json_object("json", f"$.{name}")
+    rows = messages.where(f("e") == "markPriceUpdate")
+    return rows.select((f("E").try_cast("long") * 1000).alias("exch_us"), "recv_us", f("s").alias("sym"), number(f("p")).alias("mark"), number(f("i")).alias("index"), number(f("P")).alias("est_settle"), number(f("r")).alias("funding"), (f("T").try_cast("long") * 1000).alias("next_funding_us"))
 
 
 def coinbase_levels(messages: DataFrame) -> DataFrame:
