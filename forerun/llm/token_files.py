@@ -13,32 +13,50 @@ import zlib
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import shared_dir, table
 from .bpe_stream import tokenizer_path
+from .textkernel import LOWER, Words, steps
 
 #: First nonterminal symbol: ids of the supported vocabularies are smaller.
 FIRST_RULE = 1 << 16
 #: Tokens in a block (whole documents; a longer document is a block of its own), rounds of replacement, new rules in a
 #: round at most, and how often a pair must occur to be worth a rule.
 BLOCK_TOKENS, ROUNDS, ROUND_RULES, LEAST_COUNT = 1 << 19, 5, 4096, 12
-#: Cached distinct chunks of a worker, and the longest.
-CACHE_CHUNKS, CACHE_CHARS = 400_000, 48
+#: Distinct chunks that a worker remembers.
+CACHE_CHUNKS = 1 << 20
 #: Characters tokenised in one vectorised step (or one longer document).
 STEP_CHARS = 1 << 22
 
 FILE_SCHEMA = "shard int, block int, n_tokens long, doc_ids binary, doc_tokens binary, rules binary, lengths binary, sequence binary"
 
 
+_W, _LETTER, _DIGIT, _SIGN, _QUOTE, _WHOLE = range(6)
+_KIND = np.full(256, _WHOLE, dtype=np.uint8)
+_KIND[33:127] = _SIGN
+_KIND[[32, 9, 10, 11, 12, 13]] = _W
+_KIND[65:91] = _KIND[97:123] = _LETTER
+_KIND[48:58] = _DIGIT
+_KIND[39] = _QUOTE
+#: Whether a chunk ends between two kinds: never beside a byte that is not plain ASCII, nor where an apostrophe may
+#: begin a contraction or signs make one token.
+_CUT = np.zeros((6, 6), dtype=bool)
+_CUT[_W, :] = _CUT[:, _W] = True
+_CUT[_LETTER, [_DIGIT, _SIGN, _QUOTE]] = True
+_CUT[_DIGIT, [_LETTER, _DIGIT, _SIGN, _QUOTE]] = True
+_CUT[_SIGN, [_LETTER, _DIGIT]] = True
+_CUT[_QUOTE, _DIGIT] = True
+
+
 class ChunkEncoder:
-    """Encodes texts by the library, each distinct white-space-delimited chunk once.
+    """Encodes texts by the library, each distinct chunk once.
 
-    The vocabulary's pre-tokeniser drops white space and no token spans it, so a text's ids are its chunks' ids.
+    The vocabulary's pre-tokeniser drops white space, parts letters, digits and signs, and ignores the case of A-Z, so
+    a text's ids are those of its chunks in order. Known chunks are arrays sorted by hash; a text that may hold a
+    special token is encoded whole.
     """
 
     def __init__(self, definition: str):
@@ -47,40 +65,89 @@ class ChunkEncoder:
         self.library = Tokenizer.from_str(definition)
         self.library.no_truncation()
         self.library.no_padding()
-        self.cache: dict[str, np.ndarray] = {}
-
-    def ids_of(self, chunks: list[str]) -> list[np.ndarray]:
-        found = [self.cache.get(c) for c in chunks]
-        missing = [i for i, x in enumerate(found) if x is None]
-        if len(self.cache) + len(missing) > CACHE_CHUNKS:
-            self.cache.clear()
-        for at in range(0, len(missing), 1 << 14):
-            part = missing[at : at + (1 << 14)]
-            for i, e in zip(part, self.library.encode_batch_fast([chunks[i] for i in part], add_special_tokens=False)):
-                found[i] = np.array(e.ids, dtype=np.uint32)
-                if len(chunks[i]) <= CACHE_CHARS:
-                    self.cache[chunks[i]] = found[i]
-        return found
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = np.empty(0, dtype=np.uint64)
+        self.first, self.size = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.ids = np.empty(0, dtype=np.uint32)
+
+    def _library(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each chunk): many chunks at once, told apart by the tokens' places."""
+        ids, sizes = [], []
+        for at in range(0, len(chunks), 1 << 12):
+            part = chunks[at : at + (1 << 12)]
+            e = self.library.encode(" ".join(part), add_special_tokens=False)
+            starts = np.cumsum([0, *[len(c) + 1 for c in part[:-1]]])
+            owner = np.searchsorted(starts, np.fromiter((o[0] for o in e.offsets), np.int64, len(e)), side="right") - 1
+            ids.append(np.array(e.ids, dtype=np.uint32))
+            sizes.append(np.bincount(owner, minlength=len(part)))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _learn(self, hashes: np.ndarray, chunks: list[str]) -> None:
+        if len(self.known) + len(hashes) > CACHE_CHUNKS:
+            self._forget()
+        ids, size = self._library(chunks)
+        first = np.cumsum(size) - size + len(self.ids)
+        known = np.concatenate((self.known, hashes))
+        order = np.argsort(known, kind="stable")
+        self.known, self.first, self.size = known[order], np.concatenate((self.first, first))[order], np.concatenate((self.size, size))[order]
+        self.ids = np.concatenate((self.ids, ids))
+
+    def _step(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each text)."""
+        words = Chunks(raws)
+        uniq, where, inverse = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        fresh = np.flatnonzero(~self._has(uniq))
+        if len(fresh):
+            low = words.low.tobytes()
+            spans = zip(words.start[where[fresh]].tolist(), words.end[where[fresh]].tolist())
+            if len(self.known) + len(fresh) > CACHE_CHUNKS:
+                # nothing is known from now on but what this step needs
+                self._forget()
+                fresh = np.arange(len(uniq))
+                spans = zip(words.start[where].tolist(), words.end[where].tolist())
+            self._learn(uniq[fresh], [low[a:b].decode("utf-8", "surrogatepass") for a, b in spans])
+        at = np.searchsorted(self.known, uniq)[inverse]
+        n = self.size[at]
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self.ids[np.arange(total) + np.repeat(self.first[at] - ends + n, n)]
+        return ids, np.diff(np.concatenate(([0], ends))[words.offset])
+
+    def _has(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.known):
+            return np.zeros(len(hashes), dtype=bool)
+        return self.known[np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)] == hashes
 
     def encode(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
         """(all ids in order, number of ids of each text), ``end`` appended to each text."""
-        lists = pc.ascii_split_whitespace(pa.array(["" if t is None else t for t in texts], pa.large_string()))
-        flat = lists.flatten()
-        kept = pc.not_equal(flat, "")
-        bounds = np.asarray(lists.offsets) - np.asarray(lists.offsets)[0]
-        keep = np.asarray(kept.to_numpy(zero_copy_only=False), dtype=bool)
-        bounds = np.concatenate(([0], np.cumsum(keep)))[bounds]
-        coded = flat.filter(kept).dictionary_encode()
-        parts = self.ids_of(coded.dictionary.to_pylist()) + [np.array([end], dtype=np.uint32)]
-        index = np.insert(coded.indices.to_numpy().astype(np.int64), bounds[1:], len(parts) - 1)
-        size = np.fromiter(map(len, parts), np.int64, len(parts))
-        first = np.concatenate(([0], np.cumsum(size)))[:-1]
-        n = size[index]
-        ends = np.cumsum(n)
-        where = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[index] - ends + n, n)
-        ids = np.concatenate(parts)[where]
-        doc_ends = ends[bounds[1:] + np.arange(len(texts))]
-        return ids, np.diff(np.concatenate(([0], doc_ends)))
+        parts, sizes = [], np.zeros(len(texts), dtype=np.int64)
+        whole = {i: np.array(self.library.encode(t, add_special_tokens=False).ids, dtype=np.uint32) for i, t in enumerate(texts) if t and "<|" in t}
+        for part in steps(["" if i in whole else t for i, t in enumerate(texts)]):
+            ids, n = self._step([b for _, b in part])
+            at = 0
+            for (i, _), k in zip(part, n.tolist()):
+                parts += [whole.get(i, ids[at : at + k]), np.array([end], dtype=np.uint32)]
+                sizes[i] = len(parts[-2]) + 1
+                at += k
+        return (np.concatenate(parts) if parts else np.empty(0, np.uint32)), sizes
+
+
+class Chunks(Words):
+    """Runs that the pre-tokeniser's cuts leave, A-Z in lower case."""
+
+    def __init__(self, raws: list[bytes]):
+        self.buffer = np.frombuffer(b"\n".join(raws) + b"\n", dtype=np.uint8)
+        self.low = LOWER[self.buffer]
+        kind = _KIND[self.buffer]
+        edge = np.concatenate(([True], _CUT[kind[:-1], kind[1:]]))
+        inside = kind != _W
+        self.start = np.flatnonzero(edge & inside)
+        self.end = np.flatnonzero(np.concatenate((edge[1:], [True])) & inside) + 1
+        lengths = np.fromiter(map(len, raws), dtype=np.int64, count=len(raws)) + 1
+        self.doc_end = np.cumsum(lengths)
+        self.offset = np.concatenate(([0], np.searchsorted(self.start, self.doc_end)))
 
 
 def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
