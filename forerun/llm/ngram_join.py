@@ -25,11 +25,11 @@ from .textkernel import U, Words, mix, shingles, steps
 SHINGLE, PERCENT = 4, 85
 #: Shingles whose counts order the prefixes, at most: the most frequent of all documents'. The others count as rare;
 #: the bound changes the order, and so the work, never the result.
-FREQUENT = 1 << 20
+FREQUENT = 1 << 17
 #: Shingles counted together before counts of 2 and more go to the shuffle; rows of a bucket joined at once.
-COUNT_STEP, BLOCK = 1 << 22, 1024
+COUNT_STEP, BLOCK = 1 << 21, 1024
 WORDS = 8  # 64-bit words of a parity bitmap
-_MASK_BITS = 20
+_MASK_BITS = 23
 
 
 def _sets(texts, k: int):
@@ -42,7 +42,7 @@ def _sets(texts, k: int):
 def frequent_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(sorted hashes, level) of the most frequent shingles over all documents, ``FREQUENT`` at most.
 
-    Counts of all text are gathered; those of 1 within some four million shingles carry no news and stay behind.
+    Counts of all text are gathered; those of 1 within some two million shingles carry no news and stay behind.
     """
 
     def run(batches):
@@ -129,37 +129,72 @@ def _suffix(percent: int, x: str, y: str) -> Column:
     return (100 + percent) * (n + m - differ) >= 2 * percent * (n + m)
 
 
+def _masked(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, object]:
+    """``docs`` with a slot, and a fixed bitmap of the slots of ``ids``: it spares most texts, joins decide the rest."""
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << _MASK_BITS)).cast("int")
+    words = ids.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("m")).toPandas()
+    mask = np.zeros(1 << (_MASK_BITS - 6), dtype=np.int64)  # 1 MB, whatever the input
+    mask[words["w"].to_numpy(np.int64)] = words["m"].to_numpy(np.int64)
+    return docs.withColumn("slot", slot), docs.sparkSession.sparkContext.broadcast(mask)
+
+
+def _wanted(held, slot: pd.Series) -> np.ndarray:
+    s = slot.to_numpy(np.int64)
+    return (held.value[s >> 6] >> (s & 63)) & 1 == 1
+
+
+def _both(pairs: DataFrame, rows: DataFrame, *cols: str) -> DataFrame:
+    """Each pair with the columns of its rows, as x_ and y_."""
+    for key, side in (("a", "x"), ("b", "y")):
+        pairs = pairs.join(rows.select(F.col("doc_id").alias(key), *[F.col(c).alias(f"{side}_{c}") for c in cols]), key)
+    return pairs
+
+
 def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The ``pairs`` (a, b) of ids that link, by their whole sets; each pair is compared once."""
+    """The ``pairs`` (a, b) of ids that link, by their whole sets; each pair is compared once.
+
+    Counts of shingles in cells bound the difference once more before any text is moved; texts take less room than
+    their sets.
+    """
     pairs = materialise(pairs, "pairs")
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << _MASK_BITS)).cast("int")
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    mask = np.zeros(1 << _MASK_BITS, dtype=bool)  # a fixed megabit that spares most texts; the join below decides
-    mask[ids.select(slot.alias("s")).distinct().toPandas()["s"].to_numpy(np.int64)] = True
-    held = docs.sparkSession.sparkContext.broadcast(np.packbits(mask))
+    docs = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
+    marked, held = _masked(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
 
     def run(batches):
-        wanted = np.unpackbits(held.value).astype(bool)
         for batch in batches:
-            batch = batch[wanted[batch["slot"].to_numpy(np.int64)]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "z": [z.tobytes() for _, z in _sets(batch["text"], k)]})
+            batch = batch[_wanted(held, batch["slot"])]
+            found = [(len(z), np.minimum(np.bincount((z >> U(64 - 9)).view(np.int64), minlength=512), 255).astype(np.uint8).tobytes()) for _, z in _sets(batch["text"], k)]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "n": [f[0] for f in found], "cells": [f[1] for f in found], "text": batch["text"], "slot": batch["slot"]})
+
+    rows = materialise(marked.mapInPandas(run, "doc_id long, n long, cells binary, text string, slot int"), "candidates")
+
+    def near(batches):
+        for batch in batches:
+            if len(batch):
+                x, y = (np.frombuffer(b"".join(batch[c]), dtype=np.uint8).reshape(-1, 512).astype(np.int64) for c in ("x_cells", "y_cells"))
+                total = (batch["x_n"] + batch["y_n"]).to_numpy()
+                yield batch.loc[(100 + percent) * (total - np.abs(x - y).sum(1)) >= 2 * percent * total, ["a", "b"]]
 
-    sets = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", slot.alias("slot")).mapInPandas(run, "doc_id long, z binary")
-    sets = materialise(sets.join(ids, "doc_id", "left_semi").distinct(), "sets")
+    pairs = materialise(_both(pairs, rows, "n", "cells").mapInPandas(near, "a long, b long").distinct(), "near")
+    _, kept = _masked(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
+
+    def wanted(batches):
+        for batch in batches:
+            yield batch.loc[_wanted(kept, batch["slot"]), ["doc_id", "text"]]
+
+    texts = rows.select("doc_id", "text", "slot").mapInPandas(wanted, "doc_id long, text string")
 
     def compare(batches):
         for batch in batches:
             keep = []
-            for x, y in zip(batch["x"], batch["y"]):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                small, big = (x, y) if len(x) < len(y) else (y, x)
-                at = np.minimum(np.searchsorted(big, small), len(big) - 1) if len(big) else np.zeros(0, np.int64)
-                both = int((big[at] == small).sum()) if len(big) else 0
-                keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
+            for at in range(0, len(batch), 64):
+                part = batch.iloc[at : at + 64]
+                for (_, x), (_, y) in zip(_sets(part["x_text"], k), _sets(part["y_text"], k)):
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
             yield batch.loc[keep, ["a", "b"]]
 
-    joined = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("z").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("z").alias("y")), "b")
-    return materialise(joined.select("a", "b", "x", "y").mapInPandas(compare, "a long, b long").distinct(), "links")
+    return materialise(_both(pairs, texts, "text").mapInPandas(compare, "a long, b long").distinct(), "links")
 
 
 def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -174,16 +209,18 @@ def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame
     classes = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"))
     members = materialise(sets.select("doc_id", "n", "s1", "s2").join(classes, ["s1", "s2", "n"], "left"), "members")
     reps = sets.join(members.where("doc_id = rep").select("doc_id", "s1", "s2", "n").distinct(), ["doc_id", "s1", "s2", "n"], "left_semi")
-    reps = materialise(reps.drop("s1", "s2").withColumnRenamed("doc_id", "rep").distinct(), "reps")
+    reps = materialise(reps.drop("s1", "s2").withColumnRenamed("doc_id", "rep"), "reps")
     maps = reps.select("rep", "n", *[f"b{j}" for j in range(WORDS)])
 
+    # most prefix shingles are one class's own: they are counted in narrow rows, and only the others' rows are kept
     rows = reps.select("rep", "n", "hub", F.posexplode("tokens").alias("pos", "token"))
-    pivots = rows.groupBy("token").agg(F.count("*").alias("size"), F.max(F.struct("hub", (-F.col("rep")).alias("back"), "n", "pos")).alias("p")).where("size > 1")
-    pivots = pivots.select("token", "size", (-F.col("p.back")).alias("pivot"), F.struct(F.col("p.n").alias("n"), F.col("p.pos").alias("pos")).alias("y"))
-    rows = materialise(rows.join(pivots, "token").select("token", "rep", "n", "pos", "size", "pivot", "y"), "buckets")
+    shared = reps.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("size")).where("size > 1").select("token")
+    rows = materialise(rows.join(shared, "token"), "buckets")
+    pivots = rows.groupBy("token").agg(F.max(F.struct("hub", (-F.col("rep")).alias("back"), "n", "pos")).alias("p"))
+    pivots = pivots.select("token", (-F.col("p.back")).alias("pivot"), F.struct(F.col("p.n").alias("n"), F.col("p.pos").alias("pos")).alias("y"))
 
     # first pass: each class against its buckets' pivots
-    star = rows.where("rep <> pivot").withColumn("x", F.struct("n", "pos")).where(_positional(percent, "x", "y"))
+    star = rows.join(pivots, "token").where("rep <> pivot").withColumn("x", F.struct("n", "pos")).where(_positional(percent, "x", "y"))
     star = star.select(F.greatest("rep", "pivot").alias("a"), F.least("rep", "pivot").alias("b")).distinct()
     star = star.join(maps.select(F.col("rep").alias("a"), F.struct(*maps.columns).alias("x")), "a").join(maps.select(F.col("rep").alias("b"), F.struct(*maps.columns).alias("y")), "b")
     star = materialise(star.where(_suffix(percent, "x", "y")).select("a", "b").distinct(), "star")
@@ -203,8 +240,10 @@ def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame
     first = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.rep") < F.col("y.rep")))
     again = left.join(right, (left["token"] == right["token"]) & (left["block"] == right["block"]) & (F.col("x.component") != F.col("y.component")) & first & shorter & _positional(percent, "x", "y") & _suffix(percent, "x", "y"))
     again = again.select(F.greatest("x.rep", "y.rep").alias("a"), F.least("x.rep", "y.rep").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    links = materialise(links.unionByName(verified(docs, again, k, percent)), "all-links")
-    found = components(links)
+    more = verified(docs, again, k, percent)
+    # components known so far are stars already; only the second pass's links are new
+    found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    links = links.unionByName(more)
 
     degree = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
     # rows that share an id hold its classes together; without such rows nothing changes

@@ -17,7 +17,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 #: Bytes of documents handled in one vectorised step; a longer document is a step of its own.
-STEP_BYTES = 1 << 22
+STEP_BYTES = 1 << 21
 
 
 def mix(x: np.ndarray) -> np.ndarray:
