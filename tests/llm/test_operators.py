@@ -1,0 +1,253 @@
+"""Each corpus operator on Spark: whole small tables against brute force, and the edge cases that its docstring defines."""
+
+import collections
+import hashlib
+import math
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from forerun.llm import bpe_stream, decontaminate, language, licenses, lm_score, ngram_join, quality, token_files, topk_search, toxicity
+from forerun.llm.components import components
+
+tokenizers = pytest.importorskip("tokenizers")
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, rep long"
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    """The smallest test table with rows that are null, empty, long, repeated, and columns whose names clash."""
+    base = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars", F.lit(0.5).alias("score"), F.lit(1).cast("long").alias("rep"))
+    long = "alpha beta gamma delta epsilon " * 4000
+    odd = [(9001, None, None, None, None, None, None), (9002, "", "en", "s", 0, 0.0, 0), (9003, " \n\t ", "en", "s", 4, 0.0, 0), (None, "some words without an id stand here", "en", "s", 9, 0.0, 0), (9004, long, "en", "s", len(long), 0.0, 0), (9005, long, None, None, None, None, None), (9006, "two words", "en", "s", 9, 0.0, 0), (9006, "two words", "en", "s", 9, 0.0, 0)]
+    return base.unionByName(spark.createDataFrame(odd, DOCS)).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def rows(documents):
+    return [(r["doc_id"], r["text"]) for r in documents.collect()]
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.read.parquet(f"{SF}/labels.parquet").unionByName(spark.createDataFrame([(None, 1, 0), (9001, None, None), (9004, 1, None)], "doc_id long, quality int, toxic int"))
+
+
+def ids(values):
+    return sorted(values, key=lambda x: (x is None, x))
+
+
+def word_sets(rows):
+    word, out = re.compile(r"[^\x20\x09-\x0d]+"), {}
+    for d, t in rows:
+        w = word.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        out.setdefault(d, {tuple(w[j : j + 4]) for j in range(len(w) - 3)} or ({tuple(w)} if w else set()))
+    return out
+
+
+def linked(sets, percent=85):
+    """Smallest reachable id of each document, by comparing all pairs that share a shingle."""
+    by = collections.defaultdict(list)
+    for d in sorted(k for k in sets if k is not None):
+        for s in sets[d]:
+            by[s].append(d)
+    shared = collections.Counter((a, b) for group in by.values() for i, b in enumerate(group) for a in group[:i])
+    top = {d: d for d in sets}
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for (a, b), n in shared.items():
+        if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n):
+            a, b = sorted((find(a), find(b)))
+            top[b] = a
+    return {d: find(d) for d in sets}
+
+
+def test_ngram_join_equals_brute_force(spark, documents, rows):
+    got = ngram_join.join(documents).collect()
+    sets = word_sets(rows)
+    want = linked(sets)
+    assert ids(r["doc_id"] for r in got) == ids(d for d, _ in rows)
+    for r in got:
+        assert r["n_shingles"] == len(sets[r["doc_id"]])
+        assert r["component_id"] == (None if r["doc_id"] is None else want[r["doc_id"]])
+    assert {r["doc_id"]: r["component_id"] for r in got}[9005] == 9004
+    assert ngram_join.join(documents.limit(0)).count() == 0
+
+
+def test_ngram_join_of_a_large_group_of_near_copies(spark):
+    words = [f"w{i}" for i in range(60)]
+    docs = []
+    for i in range(300):
+        w = words[:]
+        w[i % 57] = f"x{i}"
+        docs.append((i, " ".join(w if i % 3 else words)))
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.join(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == linked(word_sets(docs))
+    assert set(got.values()) == {0}
+
+
+def test_one_of_each_keeps_the_smallest(spark):
+    df = spark.createDataFrame([(3, "a b c d e f"), (1, "a b c d e f"), (2, "other words are in this one"), (1, "a b c d e f"), (None, "a b c d e f")], "doc_id long, text string")
+    assert ids(r["doc_id"] for r in ngram_join.one_of_each(df).collect()) == [1, 2, None]
+
+
+def test_components_of_a_chain(spark):
+    chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (102, 101)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys((100, 101, 102), 100)}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_bpe_digests(spark, documents, rows):
+    path = bpe_stream.tokenizer_path("byte_bpe_50k.json")
+    lib = tokenizers.Tokenizer.from_file(path)
+    got = collections.Counter(map(tuple, bpe_stream.digests(documents, path).collect()))
+    want = collections.Counter()
+    for d, t in rows:
+        e = lib.encode(t or "", add_special_tokens=False).ids
+        want[d, len(e), hashlib.sha256(",".join(map(str, e)).encode()).hexdigest(), hashlib.sha256(lib.decode(e, skip_special_tokens=False).encode()).hexdigest()] += 1
+    assert got == want
+    both = bpe_stream.encode_decode(documents.where("doc_id = 9006"), path).first()
+    assert both["decoded"] == "two words" and both["ids"] == lib.encode("two words").ids
+
+
+def test_token_files(spark, documents, rows, tmp_path):
+    path = bpe_stream.tokenizer_path("word_bpe_49k.json")
+    lib = tokenizers.Tokenizer.from_file(path)
+    token_files.write(documents, str(tmp_path / "t"), path)
+    got = sorted(token_files.read(spark, str(tmp_path / "t")).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == sorted(d for d, _ in rows if d is not None)
+    texts, at = dict(rows), 0
+    for r in got:
+        e = np.array([*lib.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids, 2], dtype="<u4")
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(e), zlib.crc32(e.tobytes())) and bytes(r["ids"]) == e.tobytes()
+        at += len(e)
+    token_files.write(documents.limit(0), str(tmp_path / "none"), path)
+    assert token_files.read(spark, str(tmp_path / "none")).count() == 0
+
+
+@pytest.mark.parametrize("module", [quality, toxicity])
+def test_classifiers_score_every_row(spark, documents, rows, labels, module):
+    model = module.train(documents, labels)
+    got = module.score(documents, model).collect()
+    assert ids(r["doc_id"] for r in got) == ids(d for d, _ in rows)
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= module.CUT) for r in got)
+    assert all(r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
+    keep = ids(r["doc_id"] for r in got if r["predicted"] == (module is quality))
+    kept = module.kept(documents, model)
+    assert kept.columns == documents.columns and ids(r["doc_id"] for r in kept.collect()) == keep
+    assert module.score(documents.limit(0), module.train(documents.limit(0), labels.limit(0))).count() == 0
+
+
+def test_held_out_quality_and_toxicity(spark):
+    docs, marks = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    truth = {r["doc_id"]: (r["quality"], r["toxic"]) for r in marks.collect()}
+    for module, at, least in ((quality, 0, 0.95), (toxicity, 1, 0.9)):
+        got = [(r["predicted"], truth[r["doc_id"]][at]) for r in module.score(docs, module.train(docs, marks)).collect() if r["held_out"] and r["doc_id"] in truth]
+        assert sum(a == b for a, b in got) >= least * len(got)
+
+
+def test_language(spark, documents, rows):
+    got = language.identify(documents, language.train(documents)).collect()
+    assert ids(r["doc_id"] for r in got) == ids(d for d, _ in rows)
+    truth = {r["doc_id"]: r["lang"] for r in documents.where("doc_id < 9000").collect()}
+    held = [(r["lang_pred"], truth[r["doc_id"]]) for r in got if r["held_out"] and r["doc_id"] in truth]
+    assert sum(a == b for a, b in held) >= 0.9 * len(held) > 0
+    assert all((r["lang_pred"], r["score"]) == ("und", 0) for r in got if r["doc_id"] in (9001, 9002, 9003))
+
+
+def test_lm_scores_every_document(spark, documents, rows):
+    tables, flat = lm_score.train(documents)
+    got = lm_score.score(documents, tables, flat).collect()
+    assert ids(r["doc_id"] for r in got) == ids(d for d, _ in rows)
+    want = {i: n for i, n, _ in lm_score.log_probabilities([t for _, t in rows], tables, flat)}
+    assert sum(r["n_words"] for r in got) == sum(want.values())
+    # the counts cover every word of every document
+    assert lm_score.count_words(documents).sum() == sum(want.values())
+    assert all(r["mean_log_prob"] is None if r["n_words"] == 0 else r["mean_log_prob"] < 0 for r in got)
+    assert lm_score.score(documents.limit(0), *lm_score.train(documents.limit(0))).count() == 0
+
+
+def test_decontamination(spark, documents, rows):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").unionByName(spark.createDataFrame([(None, "x"), (777, None), (778, "too few words")], "item_id long, text string"))
+    items = {r["item_id"]: r["text"] for r in bench.collect() if r["text"]}
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.search(documents, bench).collect()}
+    want = {(d, i) for d, t in rows for i, x in items.items() if t and i is not None and i < 777 and x in t}
+    assert want <= got and want
+    left = decontaminate.clean(documents, bench)
+    assert left.columns == documents.columns
+    assert ids(r["doc_id"] for r in left.collect()) == ids(d for d, _ in rows if d not in {g[0] for g in got})
+    assert decontaminate.search(documents.limit(0), bench).count() == 0 and decontaminate.search(documents, bench.limit(0)).count() == 0
+
+
+def naive_notice(text):
+    """(license, cosine) of the best line of a text."""
+    idf, other, _ = licenses._weights()
+    count = lambda x: collections.Counter(re.findall(licenses._TERM, x.lower()))
+    norm = lambda c: math.sqrt(sum((n * idf.get(t, other)) ** 2 for t, n in c.items()))
+    best = (0, 0, None)
+    for line in (text or "").split("\n"):
+        if re.search(licenses.CUES, line, re.I):
+            a = count(line)
+            for i, (name, template) in enumerate(licenses.TEMPLATES):
+                b = count(template)
+                cosine = round(sum(a[t] * b[t] * idf[t] ** 2 for t in b) / (norm(a) * norm(b)), 9)
+                best = max(best, (cosine, -i, name)) if best[2] else (cosine, -i, name)
+    return (best[2], best[0]) if best[0] >= licenses.LEAST_COSINE else None
+
+
+def test_licenses(spark, rows):
+    files = [("a/LICENSE", "Released under the MIT License."), ("a/b/c.py", "x = 1"), ("a/b/d.py", "# Licensed under the Apache License, Version 2.0.\ncode"), ("e.py", None), (None, "MIT License"), ("a/b/c.py", "x = 1"), ("ab/c.py", "y"), ("LICENSE", "All rights reserved.")]
+    files += [(f"z/{d}.txt", t) for d, t in rows if d is not None and d < 9000]
+    df = spark.createDataFrame(files, "path string, text string").withColumn("license", F.lit("clash"))
+    got = {r["path"]: (r["license"], r["origin"]) for r in licenses.scan(df, F.col("path").endswith("LICENSE")).collect()}
+    assert got["a/LICENSE"] == ("MIT", None) and got["a/b/c.py"] == ("MIT", "a") and got["a/b/d.py"] == ("Apache-2.0", None)
+    assert got["e.py"] == ("Proprietary", "") and got["ab/c.py"] == ("Proprietary", "") and len(got) == len({p for p, _ in files if p})
+    own = {r["path"]: (r["license"], pytest.approx(r["cosine"], abs=1e-6)) for r in licenses.notices(df).where("path IS NOT NULL").collect()}
+    assert own == {p: n for p, t in files if p and (n := naive_notice(t))}
+    assert licenses.scan(df.limit(0), F.lit(True)).count() == 0
+
+
+def test_top_k(spark):
+    rng = np.random.default_rng(3)
+    data = [(i, [float(x) for x in rng.normal(0, 0.3, 8)]) for i in range(300)]
+    data[41] = (41, data[0][1])
+    data[42] = (42, data[0][1])
+    odd = [(1000, None), (1001, [1.0, None]), (1002, [float("nan")] * 8), (1003, [float("inf")] + [0.0] * 7), (None, data[0][1]), (1020, [])]
+    df = spark.createDataFrame(data + odd, "vec_id long, embedding array<double>").withColumn("score", F.lit("clash"))
+    got = sorted(map(tuple, topk_search.top_k(df, F.col("vec_id") % 20 == 0, 5).collect()))
+    q = {i: [math.floor(64 * x) for x in v] for i, v in [*data, odd[-1]]}
+    want = []
+    for i in q:
+        if i % 20 == 0:
+            best = sorted((-sum(a * b for a, b in zip(q[i], q[j])), j) for j in q if j != i)[:5]
+            want += [(i, r, j, -s) for r, (s, j) in enumerate(best, 1)]
+    assert got == sorted(want)
+    assert topk_search.top_k(df.limit(0), F.lit(True)).count() == 0
+
+
+def test_pipeline_applies_every_stage(spark):
+    docs, sf = spark.read.parquet(f"{SF}/documents.parquet"), SF
+    now, first = docs, [(r["doc_id"], r["text"]) for r in docs.collect()]
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        now = stage(spark, now, sf)
+        if name != "bpe":
+            assert now.columns == docs.columns
+            now = spark.createDataFrame(now.collect(), docs.schema)
+        kept[name] = [(r["doc_id"], r["text"]) for r in now.collect()] if name != "bpe" else sorted(map(tuple, now.collect()))
+    want = linked(word_sets(kept["toxicity"]))
+    assert sorted(d for d, _ in kept["near duplicates"]) == sorted(d for d in want if want[d] == d)
+    items = [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    assert not [d for d, t in kept["decontamination"] if any(x in t for x in items)]
+    assert len(first) > len(kept["quality"]) >= len(kept["toxicity"]) > len(kept["near duplicates"]) >= len(kept["decontamination"]) > 0.5 * len(first)
+    assert sorted(map(tuple, corpus_pipeline.run(spark, sf).collect())) == kept["bpe"]
