@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from .common import held_out, table
 
-#: Training rows of a language at most, characters used of them together, and symbols of the common alphabet.
-MAX_TRAIN, TRAIN_CHARS, ALPHABET = 1500, 24_000, 64
+#: Training rows of a language at most, characters of them together (whole rows that fit), longest row, and symbols of
+#: the common alphabet.
+MAX_TRAIN, TRAIN_CHARS, ROW_CHARS, ALPHABET = 600, 40_000, 4_000, 64
 #: A text is parsed in blocks of so many characters, each beginning a phrase of its own, so that blocks of many texts
 #: and of one long text advance together.
 BLOCK = 256
@@ -93,15 +94,19 @@ class Model:
 
 
 def fit(by_language: dict[str, list[str]]) -> Model:
-    """Automata of each language's texts, folded, in turn up to ``TRAIN_CHARS`` characters."""
+    """Automata of each language's texts, folded: whole texts in turn, as long as they fit into ``TRAIN_CHARS``.
+
+    A language whose texts are all too long learns from its shortest.
+    """
     texts = {}
     for name, rows in sorted(by_language.items()):
+        folded = [f for f in map(fold, rows) if f]
         whole, size = [], 0
-        for row in rows:
-            row = fold(row)
-            if row and size < TRAIN_CHARS:
-                whole.append(row[: TRAIN_CHARS - size])
-                size += len(whole[-1]) + 1
+        for row in folded:
+            if len(row) <= ROW_CHARS and size + len(row) < TRAIN_CHARS:
+                whole.append(row)
+                size += len(row) + 1
+        whole = whole or sorted(folded, key=lambda f: (len(f), f))[:1]
         if whole:
             texts[name] = " ".join(whole)
     shares: dict[str, float] = {}
@@ -187,8 +192,7 @@ def train(docs: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     for name, n in sizes.items():
         keep = keep | ((F.col("lang") == name) & (F.pmod(F.xxhash64("doc_id"), F.lit(grain)) < (grain if n <= max_train else int(grain * max_train / n))))
     found: dict[str, list] = {}
-    # the fit reads TRAIN_CHARS characters of a language, so no more of a row is sent
-    sample = rows.where(keep).select("doc_id", "lang", F.substring("text", 1, TRAIN_CHARS // 20).alias("text"))
+    sample = rows.where(keep).select("doc_id", "lang", "text")
     for r in sorted(sample.collect(), key=lambda r: (r["doc_id"], r["text"])):
         found.setdefault(r["lang"], []).append(r["text"])
     # texts of all kinds take turns: an order by hash, not by age
