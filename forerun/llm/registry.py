@@ -18,5 +18,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op5_ngram_jaccard": ngram_join.ORACLE_SQL,
     "op10_topk_maxscore": topk_search.ORACLE_SQL,
 }
