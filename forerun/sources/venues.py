@@ -158,3 +158,13 @@ def rolling_median(samples: DataFrame, keys: list[str], time: str, seq: str, val
     s = samples.withColumn("_v", F.array_sort(F.collect_list(value).over(w))).withColumn("_n", F.size("_v"))
     mid = (F.element_at("_v", F.floor((F.col("_n") + 1) / 2).cast("int")) + F.element_at("_v", (F.floor(F.col("_n") / 2) + 1).cast("int"))) / 2
     return s.withColumn("median", F.when(F.col("_n") >= least, mid.cast("long"))).drop("_v", "_n")
+
+
+def recorded(spark, path: str, streaming: bool = False) -> DataFrame:
+    """Recorded messages (seq, recv_us, json): lines of receive time, a tab and the message, as a table or a stream.
+
+    A stream takes files as they land; ``seq`` orders messages of one file and receive time.
+    """
+    lines = (spark.readStream if streaming else spark.read).text(path)
+    cut = F.split("value", "\t", 2)
+    return lines.select(F.monotonically_increasing_id().alias("seq"), F.get(cut, F.lit(0)).try_cast("long").alias("recv_us"), F.get(cut, F.lit(1)).alias("json")).where("recv_us IS NOT NULL")

@@ -8,7 +8,7 @@ from forerun.config import Config
 from forerun.operators import detect
 from forerun.schema import LEG, QUOTE
 from forerun.sources import sinks, venues
-from forerun.streaming import live
+from forerun.streaming import live, watch
 
 
 def messages(spark, rows):
@@ -110,3 +110,20 @@ def test_sinks_and_snapshot(spark, tmp_path):
     snap = sinks.snapshot({"alerts": alerts, "trades": None}, {"session": scores}, scores, alerts)
     text = sinks.render(snap)
     assert snap["counts"] == {"alerts": 30, "trades": None} and "BTC A/SPOT +0.500 p=0" in text and "B/SPOT" not in text
+
+
+def test_recorded_messages(spark, tmp_path):
+    (tmp_path / "feed").mkdir()
+    (tmp_path / "feed" / "a.txt").write_text('5\t{"a":1}\nbroken\n6\t{"b":\t2}\n')
+    got = venues.recorded(spark, str(tmp_path / "feed")).orderBy("recv_us").collect()
+    assert [(r["recv_us"], r["json"]) for r in got] == [(5, '{"a":1}'), (6, '{"b":\t2}')]
+    assert venues.recorded(spark, str(tmp_path / "feed"), streaming=True).isStreaming
+
+
+def test_idle_listener_tells_once():
+    now, told = [0.0], []
+    listener = watch.IdleListener(lambda name, s: told.append((name, s)), 90, lambda: now[0])
+    for t, rows in ((0, 1), (60, 0), (91, 0), (120, 0), (130, 5), (240, 0)):
+        now[0] = t
+        listener.seen("okx", rows)
+    assert told == [("okx", 91.0), ("okx", 110.0)]
