@@ -423,10 +423,10 @@ def w12(spark, sf):
     return detect.runs(s, LEG, "t", "seq")
 
 
-@query("w13_rolling_median", f"WITH {O.BOOK_SQL}, x AS (SELECT sym, seq, CASE WHEN count(*) OVER w >= 20 THEN CAST(trunc(median(recv_us - event_us) OVER w) AS BIGINT) END AS median FROM q WINDOW w AS (PARTITION BY sym ORDER BY recv_us, seq ROWS 199 PRECEDING)) SELECT * FROM x")
+@query("w13_rolling_median", f"WITH {O.BOOK_SQL}, x AS (SELECT sym, seq, CASE WHEN count(*) OVER w >= 20 THEN CAST(trunc(median(recv_us - event_us) OVER w) AS BIGINT) ELSE -1 END AS median FROM q WINDOW w AS (PARTITION BY sym ORDER BY recv_us, seq ROWS 199 PRECEDING)) SELECT * FROM x")
 def w13(spark, sf):
     s = M.quotes(spark, sf).select("sym", "recv_us", "seq", (F.col("recv_us") - F.col("event_us")).alias("d"))
-    return venues.rolling_median(s, ["sym"], "recv_us", "seq", "d").select("sym", "seq", "median")
+    return venues.rolling_median(s, ["sym"], "recv_us", "seq", "d").select("sym", "seq", F.coalesce("median", F.lit(-1)).alias("median"))
 
 
 @query("w14_change_only", f"WITH {O.BOOK_SQL}, x AS (SELECT seq, sym, round(bid) AS b1, lag(round(bid)) OVER w AS b0, row_number() OVER w AS n FROM b WINDOW w AS (PARTITION BY {L} ORDER BY recv_us, seq)) SELECT seq, sym FROM x WHERE n = 1 OR b1 IS DISTINCT FROM b0")
