@@ -19,7 +19,7 @@ from .common import held_out, labelled_sample, table
 from .textkernel import SPACE, U, Words, mix, steps
 
 #: Labelled rows of each class that a fit uses at most.
-MAX_TRAIN = 2_500
+MAX_TRAIN = 2_000
 BUCKETS, DIM, GRAMS, WINDOW = 1 << 17, 8, (3, 4, 5), 12
 STEPS_NOISY, STEPS_WORST, RATE, DECAY = 60, 160, 0.15, 2e-3
 #: Share of the loss that toxic documents have, however rare they are; documents of a class weigh the same.
@@ -112,11 +112,11 @@ def fit(texts: list[str | None], y: np.ndarray) -> Model:
         fresh = np.array([i for i, u in enumerate(uniq.tolist()) if u not in known], dtype=np.int64)
         if len(fresh):
             b, s = subwords(words, first[fresh])
-            codes.append(b)
+            codes.append(b.astype(np.int32))
             begins.append(s + at)
             at += len(b)
             known.update(zip(uniq[fresh].tolist(), range(len(known), len(known) + len(fresh))))
-        ids.append(np.array([known[u] for u in uniq.tolist()], dtype=np.int64)[inverse])
+        ids.append(np.array([known[u] for u in uniq.tolist()], dtype=np.int32)[inverse])
         s, e, o = _windows(offset)
         starts.append(s + base)
         ends.append(e + base)
@@ -124,6 +124,7 @@ def fit(texts: list[str | None], y: np.ndarray) -> Model:
         base += len(inverse)
     code, begin = np.concatenate(codes), np.concatenate(begins)
     ids, s, e, who = (np.concatenate(z) for z in (ids, starts, ends, owner))
+    del codes, begins, starts, ends, owner, known
     grams = np.diff(np.concatenate((begin, [len(code)])))
     n_words = len(begin)
     first_window = np.flatnonzero(np.concatenate(([True], who[1:] != who[:-1])))
