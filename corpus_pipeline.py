@@ -22,9 +22,13 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return toxicity.kept(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+#: The near-duplicate stage's own words of a shingle and percentage; the query of operator 5 has others.
+NEAR_SHINGLE, NEAR_PERCENT = 5, 80
+
+
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that the n-gram Jaccard join (5) links."""
-    return ngram_join.one_of_each(docs)
+    """One document of each group that the n-gram Jaccard join (5) links on 5-word shingles at 80 %."""
+    return ngram_join.one_of_each(docs, k=NEAR_SHINGLE, percent=NEAR_PERCENT)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -251,3 +251,26 @@ def test_pipeline_applies_every_stage(spark):
     assert not [d for d, t in kept["decontamination"] if any(x in t for x in items)]
     assert len(first) > len(kept["quality"]) >= len(kept["toxicity"]) > len(kept["near duplicates"]) >= len(kept["decontamination"]) > 0.5 * len(first)
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf).collect())) == kept["bpe"]
+
+
+def test_near_duplicate_stage_links_five_word_shingles_at_80_percent(spark):
+    rng = np.random.default_rng(17)
+    base = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    docs = [(r["doc_id"], r["text"]) for r in base.collect()]
+    for i in range(40):
+        words = [f"v{x}" for x in rng.integers(0, 10_000, int(rng.integers(30, 160)))]
+        docs.append((10_000 + 2 * i, " ".join(words)))
+        for at in rng.choice(len(words), int(rng.integers(1, 4)), replace=False):
+            words[at] = "changed"
+        docs.append((10_001 + 2 * i, " ".join(words)))
+    words = [f"w{i}" for i in range(100)]
+    docs.append((20_000, " ".join(words)))
+    words[30], words[70] = "x", "y"
+    docs.append((20_001, " ".join(words)))  # 86 of 106 shingles of five words, 89 of 105 of four
+    sets = {}
+    for d, t in docs:
+        w = re.findall(r"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[d] = {tuple(w[j : j + 5]) for j in range(len(w) - 4)} or ({tuple(w)} if w else set())
+    want = linked(sets, 80)
+    got = [r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame(docs, "doc_id long, text string"), SF).collect()]
+    assert sorted(got) == sorted(d for d in want if want[d] == d) and 20_000 in got and 20_001 not in got
