@@ -129,6 +129,28 @@ def test_decontamination_finds_edited_items_and_no_others():
     assert all(d < len(docs) for d in found)
 
 
+def test_decontamination_finds_every_short_item():
+    rng = random.Random(8)
+    items = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 7))) for _ in range(60)]
+    docs = [" ".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(0, 40))) for _ in range(150)] + [None, ""]
+    want = {}
+    for d, text in enumerate(docs):
+        t = (text or "").split()
+        for i, item in enumerate(items):
+            w = item.split()
+            near = min(((D.edit_distance(w, t[a : a + len(w) + 1])[0], a) for a in range(len(t))), default=(9, 0))
+            if near[0] <= int(0.2 * len(w)):
+                want[d, i] = near[0]
+    got = {(d, i): distance for d, i, _, _, distance in D.matches(docs, D.build([*range(60)], items))}
+    assert got == want and set(want.values()) == {0, 1}
+
+
+def test_decontamination_in_scripts_without_spaces():
+    items = ["中国的首都是哪里", "東京", "ประเทศไทย"]
+    docs = ["我想知道中国的首都是哪里。谢谢", "中国的首都在哪里呢", "これは東京です", "ในประเทศไทยมี", "北京和东京", "no such text"]
+    assert [(d, i) for d, i, *_ in D.matches(docs, D.build([0, 1, 2], items))] == [(0, 0), (1, 0), (2, 1), (3, 2)]
+
+
 def test_phrases_equal_brute_force():
     rng = random.Random(8)
     ref = "".join(rng.choice("abc") for _ in range(300))
