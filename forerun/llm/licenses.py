@@ -1,4 +1,9 @@
-"""License scans: sparse TF-IDF cosine of notices to templates, then inheritance from the nearest licensed directory."""
+"""License scans: sparse TF-IDF cosine of notices to templates, then inheritance from the nearest licensed directory.
+
+A notice is a line, or as many terms in a row as the template has, wherever they stand in the text and across line
+breaks. A window's dot products are differences of running sums; the sum of its terms' squared weights bounds its norm
+from below, so only windows that can be near enough are counted term by term.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +11,8 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +35,7 @@ TEMPLATES = [
     ("CC-BY-SA-4.0", "licensed under CC BY-SA 4.0"),
     ("CC0-1.0", "dedicated to the public domain under CC0 1.0"),
     ("GPL-2.0", "licensed under the GNU General Public License, version 2"),
+    ("GPL-3.0", "licensed under the GNU General Public License, version 3"),
     ("GPL-3.0", "this work is licensed under the GNU General Public License, version 3"),
     ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"),
     ("ISC", "released under the ISC License"),
@@ -39,9 +47,11 @@ TEMPLATES = [
     ("Proprietary", "all rights reserved"),
     ("Unlicense", "this is free and unencumbered software released into the public domain"),
 ]
-#: A line is read if it holds one of these.
+#: A line or window is read if it holds one of these.
 CUES = "licen[sc]e|copyright|rights reserved|public domain|permission is hereby|redistribution and use|mozilla public"
 LEAST_COSINE = 0.6
+#: Terms of a text whose windows are compared at once.
+BLOCK = 1 << 16
 _TERM = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
 
 
@@ -58,22 +68,78 @@ def _weights() -> tuple[dict[str, float], float, list[tuple[str, int, str, float
     return idf, math.log(1 + n) + 1, rows
 
 
+class Scanner:
+    """The best template of a text over its lines and its windows."""
+
+    def __init__(self):
+        idf, self.other, rows = _weights()
+        self.place = {t: i for i, t in enumerate(idf)}
+        self.idf = np.array([*idf.values(), self.other])
+        self.weight = np.zeros((len(TEMPLATES), len(idf) + 1))
+        for _, template, term, w in rows:
+            self.weight[template, self.place[term]] = w
+        self.size = np.array([len(re.findall(_TERM, text.lower())) for _, text in TEMPLATES])
+        self.license = np.array([name for name, _ in TEMPLATES])
+        self.term, self.cue = re.compile(_TERM), re.compile(CUES, re.I | re.A)
+
+    def cosines(self, terms: list[str]) -> np.ndarray:
+        """The cosine of some terms to each template."""
+        count = Counter(terms)
+        n = np.array([*count.values()], dtype=float)
+        at = np.array([self.place.get(t, -1) for t in count])
+        return np.round(self.weight[:, at] @ n / math.sqrt(((n * self.idf[at]) ** 2).sum()), 9)
+
+    def lines(self, text: str):
+        for line in text.split("\n"):
+            if self.cue.search(line) and (terms := self.term.findall(line.lower())):
+                c = self.cosines(terms)
+                i = int(c.argmax())
+                yield c[i], -i
+
+    def windows(self, text: str):
+        cues = np.array([m.start() for m in self.cue.finditer(text)])
+        found = [(m[0], m.start(), m.end()) for m in self.term.finditer(text.lower())]
+        # a text whose lower case is of another length gives no places in it; its cues are looked for anew
+        if len(text.lower()) != len(text):
+            cues = np.array([m.start() for m in self.cue.finditer(text.lower())])
+        terms = [f[0] for f in found]
+        begins, ends = np.array([f[1] for f in found]), np.array([f[2] for f in found])
+        for block in range(0, len(terms), BLOCK):
+            at = np.array([self.place.get(t, -1) for t in terms[block : block + BLOCK + int(self.size.max()) - 1]])
+            dot = np.concatenate((np.zeros((len(TEMPLATES), 1)), np.cumsum(self.weight[:, at], 1)), 1)
+            square = np.concatenate(([0.0], np.cumsum(self.idf[at] ** 2)))
+            for size in np.unique(np.minimum(self.size, len(at))).tolist():
+                mine = np.flatnonzero(np.minimum(self.size, len(at)) == size)
+                bound = (dot[mine, size:] - dot[mine, :-size]).max(0) / np.sqrt(square[size:] - square[:-size])
+                for w in np.flatnonzero(bound >= LEAST_COSINE - 1e-6).tolist():
+                    a = block + w
+                    if np.searchsorted(cues, begins[a]) == np.searchsorted(cues, ends[a + size - 1]):
+                        continue
+                    c = self.cosines(terms[a : a + size])
+                    i = int(mine[c[mine].argmax()])
+                    # words that two licences share tell neither
+                    if c[i] > c[self.license != self.license[i]].max():
+                        yield c[i], -i
+
+    def best(self, text: str) -> tuple[float, int] | None:
+        """(cosine, minus the template's number) of the nearest template, the first of equals, if near enough."""
+        found = max([*self.lines(text), *self.windows(text)], default=(0, 0))
+        return found if found[0] >= LEAST_COSINE else None
+
+
 def notices(files: DataFrame) -> DataFrame:
-    """(path, license, cosine): each file's best template over all lines of its whole text, if it is near enough."""
-    spark = files.sparkSession
-    idf, other, postings = _weights()
-    # the templates are a fixed table of a few hundred terms
-    terms = F.broadcast(spark.createDataFrame(postings, "license string, template int, term string, weight double"))
-    known = F.broadcast(spark.createDataFrame(list(idf.items()), "term string, idf double"))
-    cue = f"(?i){CUES}"
-    lines = files.select("path", "text").where(F.col("text").rlike(cue)).select("path", F.posexplode(F.split("text", "\n")).alias("line", "text")).where(F.col("text").rlike(cue))
-    # equal lines of one file are one; a line's terms are counted inside the row, so no key gathers lines
-    counted = lines.select("path", "line", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"({_TERM})"), 1)).alias("term")).groupBy("path", "line", "term").agg(F.count("*").alias("n"))
-    counted = counted.join(known, "term", "left").withColumn("idf", F.coalesce("idf", F.lit(other)))
-    norms = counted.groupBy("path", "line").agg(F.sqrt(F.sum((F.col("n") * F.col("idf")) * (F.col("n") * F.col("idf")))).alias("norm"))
-    dots = counted.join(terms, "term").groupBy("path", "line", "template", "license").agg(F.sum(F.col("n") * F.col("weight")).alias("dot"))
-    near = dots.join(norms, ["path", "line"]).select("path", "license", "template", F.round(F.col("dot") / F.col("norm"), 9).alias("cosine")).where(F.col("cosine") >= LEAST_COSINE)
-    best = near.groupBy("path").agg(F.max(F.struct("cosine", (-F.col("template")).alias("back"), "license")).alias("b"))
+    """(path, license, cosine): each file's best template over all lines and windows of its text, if it is near enough."""
+
+    def run(batches):
+        scanner = Scanner()
+        for batch in batches:
+            rows = [(p, float(b[0]), b[1], TEMPLATES[-b[1]][0]) for p, t in zip(batch["path"], batch["text"]) if (b := scanner.best(t))]
+            if rows:
+                yield pd.DataFrame(rows, columns=["path", "cosine", "back", "license"])
+
+    read = files.select("path", "text").where(F.col("text").rlike(f"(?i){CUES}"))
+    found = read.mapInPandas(run, "path string, cosine double, back int, license string")
+    best = found.groupBy("path").agg(F.max(F.struct("cosine", "back", "license")).alias("b"))
     return best.select("path", F.col("b.license").alias("license"), F.col("b.cosine").alias("cosine"))
 
 

@@ -10,6 +10,7 @@ import pytest
 
 from forerun.llm import decontaminate as D
 from forerun.llm import language as L
+from forerun.llm import licenses as C
 from forerun.llm import lm_score as M
 from forerun.llm import quality as Q
 from forerun.llm import token_files as T
@@ -231,3 +232,20 @@ def test_lm_beats_its_prior_on_patterned_text():
 
 def test_crc_fold_is_the_standard_one():
     assert zlib.crc32(b"123") % 5 == zlib.crc32(str(123).encode()) % 5
+
+
+def test_license_notices_inside_long_lines_and_across_lines():
+    prose = "the river ran past a mill and nobody knew who had built it " * 30
+    for name, notice in (
+        ("MIT", "Copyright 2024 Example Corp. Released under the MIT License. See LICENSE in the project root for details."),
+        ("Apache-2.0", "This file, as all others here, is licensed under the Apache License, Version 2.0, see the file LICENSE for the full text."),
+        ("GPL-3.0", "The tools beside it are licensed under the GNU General Public License, version 3, or later."),
+        ("GPL-2.0", "The tools beside it are licensed under the GNU\nGeneral Public License,\nversion 2, and no other."),
+    ):
+        for text in (notice, prose + notice + " " + prose, (prose + notice.replace("\n", " ") + " " + prose).replace(" ", "\n")):
+            found = C.Scanner().best(text)
+            assert found and C.TEMPLATES[-found[1]][0] == name and found[0] >= 0.9
+    for text in (prose, "It was released under the old license of the town.", "A licence to print money, he said.", "", "İ License"):
+        assert C.Scanner().best(prose + text + prose) is None
+    long = "x " * (C.BLOCK - 3) + "released under the MIT License " + "y " * 50
+    assert C.Scanner().best(long)[0] == 1
