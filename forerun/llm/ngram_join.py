@@ -197,10 +197,12 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
     return materialise(_both(pairs, texts, "text").mapInPandas(compare, "a long, b long").distinct(), "links")
 
 
-def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links) of every row: its set size and the smallest id that links reach.
+def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, count_links: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row: its set size and the smallest id that links reach.
 
-    ``n_links`` counts the class's verified links. Null texts and texts without words have no shingles and link with
+    ``count_links`` adds n_links, the documents that link with the row's own, those with equal sets among them. For
+    it every pair of a bucket is compared, so a group of m near copies costs m * (m - 1) / 2 comparisons; components
+    need only the pairs that connect them, and without it no others are looked for. Null texts and texts without words have no shingles and link with
     nothing; repeated rows are returned as often, rows that share an id count as one document with several texts, and
     a null doc_id has a null component. An empty table gives no rows; columns other than doc_id and text are not read.
     """
@@ -227,10 +229,10 @@ def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame
     links = verified(docs, star, k, percent)
     found = components(links)
 
-    # second pass: pairs of a bucket whose components still differ
+    # second pass: pairs of a bucket whose components still differ, or all where links are counted
     rows = rows.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     rows = materialise(rows.select("token", "rep", "n", "pos", "component"), "labelled")
-    mixed = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
+    mixed = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where(F.lit(count_links) | (F.col("lo") != F.col("hi")))
     open_rows = rows.join(mixed.select("token", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "token").join(maps, ["rep", "n"])
     side = F.struct("rep", "n", "pos", "component", *[f"b{j}" for j in range(WORDS)])
     left = open_rows.select("token", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), side.alias("x"))
@@ -238,21 +240,26 @@ def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame
     # the smaller class of a pair finds it within its shorter prefix already
     shorter = F.col("x.pos") <= F.col("x.n") - F.ceil(F.lit(2 * percent) * F.col("x.n") / F.lit(100 + percent))
     first = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.rep") < F.col("y.rep")))
-    again = left.join(right, (left["token"] == right["token"]) & (left["block"] == right["block"]) & (F.col("x.component") != F.col("y.component")) & first & shorter & _positional(percent, "x", "y") & _suffix(percent, "x", "y"))
+    again = left.join(right, (left["token"] == right["token"]) & (left["block"] == right["block"]) & (F.lit(count_links) | (F.col("x.component") != F.col("y.component"))) & first & shorter & _positional(percent, "x", "y") & _suffix(percent, "x", "y"))
     again = again.select(F.greatest("x.rep", "y.rep").alias("a"), F.least("x.rep", "y.rep").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
     more = verified(docs, again, k, percent)
     # components known so far are stars already; only the second pass's links are new
     found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-    links = links.unionByName(more)
-
-    degree = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
     # rows that share an id hold its classes together; without such rows nothing changes
-    out = members.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").join(degree, "rep", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    out = members.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    result = [F.col("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id")]
+    if not count_links:
+        return out.select(*result)
+    links = links.unionByName(more)
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    size = materialise(members.where("rep IS NOT NULL").groupBy("rep").agg(F.countDistinct("doc_id").alias("size")), "sizes")
+    degree = both.join(size.withColumnRenamed("rep", "b"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("size").alias("others"))
+    out = out.join(degree, "rep", "left").join(size, "rep", "left")
+    return out.select(*result, (F.coalesce("others", F.lit(0)) + F.coalesce(F.col("size") - 1, F.lit(0))).alias("n_links"))
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(table(spark, sf_dir, "documents")).drop("n_links")
+    return join(table(spark, sf_dir, "documents"))
 
 
 #: All pairs that share a shingle, and the transitive closure of those that link.

@@ -274,3 +274,17 @@ def test_near_duplicate_stage_links_five_word_shingles_at_80_percent(spark):
     want = linked(sets, 80)
     got = [r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame(docs, "doc_id long, text string"), SF).collect()]
     assert sorted(got) == sorted(d for d in want if want[d] == d) and 20_000 in got and 20_001 not in got
+
+
+def test_ngram_join_counts_every_link(spark):
+    words, docs = [f"w{i}" for i in range(120)], []
+    for i in range(90):
+        w = words[:]
+        w[3 + i % 40] = f"x{i}" if i % 5 else "same"
+        docs.append((i, " ".join(w)))
+    docs += [(100 + i, " ".join(words)) for i in range(6)] + [(200, "nothing like it at all"), (201, None)]
+    sets = word_sets(docs)
+    want = {d: sum(e != d and len(s) > 0 and 100 * len(s & t) >= 85 * len(s | t) for e, t in sets.items()) for d, s in sets.items()}
+    got = {r["doc_id"]: (r["component_id"], r["n_links"]) for r in ngram_join.join(spark.createDataFrame(docs, "doc_id long, text string"), count_links=True).collect()}
+    assert {d: n for d, (_, n) in got.items()} == want and want[100] == 95 and want[200] == want[201] == 0
+    assert {d: c for d, (c, _) in got.items()} == linked(sets)
