@@ -21,6 +21,8 @@ SHARD_ROWS, BLOCK_ROWS = 16384, 4096
 #: Vectors scored in full to get a first threshold, and non-essential terms probed between two prunings.
 SEED_ROWS, PROBE_TERMS = 256, 8
 _EXACT = 2.0**53
+#: The range of a component and of a score.
+_LEAST, _MOST = -(1 << 63), (1 << 63) - 1
 
 
 def maxscore(query: np.ndarray, columns: np.ndarray, low: np.ndarray, high: np.ndarray, ids: np.ndarray, own: int, k: int):
@@ -70,7 +72,7 @@ def _search_pair(k: int):
         width = max(shard["terms"].map(len).max(), queries["terms"].map(len).max())
 
         def matrix(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-            frame = frame.assign(key=frame["terms"].map(tuple)).sort_values(["vec_id", "key"]).drop_duplicates("vec_id")
+            frame = frame.assign(key=frame["terms"].map(tuple)).sort_values(["vec_id", "key"])
             rows = np.zeros((len(frame), width), dtype=np.int64)
             for i, terms in enumerate(frame["terms"]):
                 rows[i, : len(terms)] = terms
@@ -84,7 +86,7 @@ def _search_pair(k: int):
         low, high = columns.min(1), columns.max(1)
         for query_id, query in zip(q_ids, q.astype(kind)):
             if kind is object:
-                score = query @ columns
+                score = np.clip(query @ columns, _LEAST, _MOST)
                 rows = [r for r in sorted(range(len(ids)), key=lambda r: (-score[r], ids[r])) if ids[r] != query_id][:k]
                 out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[rows], "score": [int(score[r]) for r in rows]}))
                 continue
@@ -103,8 +105,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, ve
     """(query_id, rank, vec_id, score) of each query's k best rows by integer inner product, ties to smaller ids.
 
     Null vectors, and vectors holding null or non-finite components, take no part. Missing trailing components count
-    as 0; an empty vector scores 0 with all. Of rows that repeat an id the lexicographically first vector counts, and
-    rows without an id are left out. No rows give no result; other columns of ``vectors`` are never read.
+    as 0; an empty vector scores 0 with all. Rows that repeat an id are candidates each, but never of their own id; of a
+    query id with several vectors all pairs are ranked together. Rows without an id are left out. Components and scores
+    beyond 64 bits count as the nearest 64-bit integer. No rows give no result; other columns are never read.
     """
     rows = (
         vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("v"))
