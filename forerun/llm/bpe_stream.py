@@ -22,12 +22,17 @@ from .common import table
 #: The byte-level pre-tokenisation pattern of the vocabulary file's format.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: Memory bounds: cached pieces per worker and their longest, pieces joined at once, ids decoded at once.
-CACHE_PIECES, CACHE_CHARS, JOIN_PIECES, DECODE_IDS = 400_000, 48, 1 << 15, 1 << 14
+#: Memory bounds: remembered pieces per worker and their longest, characters read at once, symbols taken into the window
+#: at once, pre-tokens held, ids decoded at once.
+CACHE_PIECES, CACHE_CHARS, BLOCK_CHARS, WINDOW, HELD, DECODE_IDS = 400_000, 48, 1 << 15, 512, 1 << 12, 1 << 14
 
 _PIECE = re.compile(r"\s*\S+|\s+")
+_CUT = re.compile(r"\S(\s)")
 _UNSAFE = re.compile("[\x1c-\x1f]")
 
+#: The ids of a stretch of text as text, how many they are, and the bytes that they stand for.
+Entry = tuple[str, int, bytes]
+
 
 def byte_alphabet() -> dict[int, str]:
     """The printable stand-in character of each byte: printable Latin-1 bytes stand for themselves, the rest follow from 256."""
@@ -74,7 +79,10 @@ class Transducer:
         self.length = {i: len(b) for i, b in self.bytes.items()}
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pattern = regex.compile(PATTERN)
-        self.cache: dict[str, tuple[str, tuple[int, ...]]] = {}
+        self.window = max(WINDOW, *self.length.values())
+        # remembered pieces: the recent ones, and those before them, which come back when they are met again
+        self.cache: dict[str, Entry] = {}
+        self.older: dict[str, Entry] = {}
 
     def merged(self, ids: list[int]) -> list[int]:
         """All merges in rank order, leftmost first, over a short run of symbols."""
@@ -90,64 +98,97 @@ class Transducer:
                 ranks[i] = rank((ids[i], ids[i + 1]), none)
         return ids
 
-    def word(self, raw: bytes, window: int = 512):
-        """Ids of one pre-token; one that exceeds the window is streamed."""
-        if len(raw) <= window:
-            return self.merged([self.symbol[b] for b in raw])
-        return self.stream(raw, window + self.lookahead)
-
-    def stream(self, raw: bytes, size: int):
-        """Ids of a long pre-token, emitted once stable: ``size`` symbols are held, ``lookahead`` of them after what is emitted."""
-        symbols = [self.symbol[b] for b in raw[:size]]
-        at = len(symbols)
-        while at < len(raw):
-            done, settled = 0, len(symbols) - self.lookahead
-            for token in self.merged(symbols[:]):
-                n = self.length[token]
-                if done + n > settled:
-                    break
-                done += n
-                yield token
-            # symbols at a token's end are a fresh start: no merge crosses it
-            symbols = symbols[done:]
-            more = raw[at : at + max(1, size - len(symbols))]
-            symbols += [self.symbol[b] for b in more]
-            at += len(more)
-        yield from self.merged(symbols)
-
-    def piece(self, piece: str) -> tuple[str, tuple[int, ...]]:
-        """The ids of a piece that pre-tokenises on its own, also as text; short pieces are remembered."""
-        words = self.pattern.findall(piece)
+    def stream(self, parts):
+        """Lists of the ids of one pre-token, given as parts of its bytes, each emitted once stable.
+
+        At most ``window`` + ``lookahead`` symbols are held. When more follow, the tokens are emitted that end
+        ``lookahead`` symbols before the last one held; at the end of the pre-token all others are.
+        """
+        symbols: list[int] = []
+        for raw in parts:
+            for at in range(0, len(raw), self.window):
+                if len(symbols) > self.lookahead + self.window:
+                    done, settled, out = 0, len(symbols) - self.lookahead, []
+                    for token in self.merged(symbols[:]):
+                        n = self.length[token]
+                        if done + n > settled:
+                            break
+                        done += n
+                        out.append(token)
+                    # symbols at a token's end are a fresh start: no merge crosses it
+                    symbols = symbols[done:]
+                    yield out
+                symbols += [self.symbol[b] for b in raw[at : at + self.window]]
+        yield self.merged(symbols)
+
+    def entry(self, ids) -> Entry:
+        return ",".join(map(str, ids)), len(ids), b"".join([self.bytes[i] for i in ids])
+
+    def piece(self, piece: str) -> Entry:
+        """The entry of a stretch that pre-tokenises on its own; those of short ones are remembered."""
+        words = () if (found := self.cache.get(piece) or self.older.get(piece)) else self.pattern.findall(piece)
         if len(words) == 1:
-            ids = tuple(self.word(piece.encode("utf-8", "surrogatepass")))
-        else:
-            ids = tuple(itertools.chain.from_iterable([(self.cache.get(w) or self.piece(w))[1] for w in words]))
-        entry = (",".join(map(str, ids)), ids)
+            found = self.entry([*itertools.chain.from_iterable(self.stream((piece.encode("utf-8", "surrogatepass"),)))])
+        elif words:
+            texts, counts, raws = zip(*[self.cache.get(w) or self.piece(w) for w in words])
+            found = ",".join(texts), sum(counts), b"".join(raws)
         if len(piece) <= CACHE_CHARS:
-            if len(self.cache) >= CACHE_PIECES:
-                self.cache.clear()
-            self.cache[piece] = entry
-        return entry
-
-    def entries(self, text: str):
-        """(ids as text, ids) of consecutive pieces of the text, special tokens included.
-
-        A cut before white space that follows something else never splits a pre-token, so pieces are independent.
-        The control characters that Python takes for white space and the pattern does not are left whole.
+            if len(self.cache) >= CACHE_PIECES // 2:
+                self.cache, self.older = {}, self.cache
+            self.cache[piece] = found
+        return found
+
+    def words(self, text: str, a: int, b: int):
+        """Lists of the entries of text[a:b], one pre-token after the other; a long one is streamed."""
+        held: list[Entry] = []
+        for m in self.pattern.finditer(text, a, b):
+            if m.end() - m.start() <= CACHE_CHARS:
+                w = m[0]
+                held.append(self.cache.get(w) or self.piece(w))
+                if len(held) < HELD:
+                    continue
+            if held:
+                yield held
+                held = []
+            if m.end() - m.start() > CACHE_CHARS:
+                parts = (text[i : min(i + HELD, m.end())].encode("utf-8", "surrogatepass") for i in range(m.start(), m.end(), HELD))
+                for ids in self.stream(parts):
+                    yield [self.entry(ids)]
+        if held:
+            yield held
+
+    def blocks(self, text: str):
+        """Lists of the entries of consecutive stretches of the text, special tokens included, in bounded memory.
+
+        A cut before white space that follows something else never splits a pre-token, so stretches are independent.
+        Runs without such a cut, and the control characters that Python takes for white space and the pattern does
+        not, go pre-token by pre-token.
         """
-        for part in self.split_special.split(text) if self.split_special and any(s in text for s in self.special) else (text,):
-            if part in self.special:
-                yield str(self.special[part]), (self.special[part],)
-            elif part:
-                cache, piece = self.cache, self.piece
-                for m in (self.pattern if _UNSAFE.search(part) else _PIECE).finditer(part):
-                    p = m[0]
-                    yield cache.get(p) or piece(p)
+        at = 0
+        for m in itertools.chain(self.split_special.finditer(text) if self.special else (), (None,)):
+            end = m.start() if m else len(text)
+            whole = _UNSAFE.search(text, at, end)
+            while at < end and not whole:
+                cut = _CUT.search(text, at + BLOCK_CHARS, end) if end - at > BLOCK_CHARS else None
+                stop = cut.start(1) if cut else end
+                if stop - at > 2 * BLOCK_CHARS:
+                    yield from self.words(text, at, stop)
+                else:
+                    cache, piece = self.cache, self.piece
+                    yield [cache.get(p) or piece(p) for p in _PIECE.findall(text, at, stop)]
+                at = stop
+            if at < end:
+                yield from self.words(text, at, end)
+            if m:
+                yield [self.entry([self.special[m[0]]])]
+                at = m.end()
 
     def encode(self, text: str | None):
         """The ids of a text, one after the other."""
-        for _, ids in self.entries(text or ""):
-            yield from ids
+        for block in self.blocks(text or ""):
+            for ids, n, _ in block:
+                if n:
+                    yield from map(int, ids.split(","))
 
     def decode(self, ids):
         """The text of ids, piece by piece: bytes that do not complete a character wait for the next ids."""
@@ -160,14 +201,13 @@ class Transducer:
     def digest(self, text: str | None) -> tuple[int, str, str]:
         """(n, sha256 of the ids, sha256 of the decoded text), block by block in bounded memory."""
         n, ids_hash, text_hash = 0, hashlib.sha256(), hashlib.sha256()
-        state, entries, table = codecs.getincrementaldecoder("utf-8")("replace"), self.entries(text or ""), self.bytes
-        while block := list(itertools.islice(entries, JOIN_PIECES)):
-            block = [e for e in block if e[1]]
-            ids = list(itertools.chain.from_iterable([e[1] for e in block]))
-            if ids:
-                ids_hash.update((("," if n else "") + ",".join([e[0] for e in block])).encode())
-                text_hash.update(state.decode(b"".join(map(table.__getitem__, ids))).encode())
-            n += len(ids)
+        state = codecs.getincrementaldecoder("utf-8")("replace")
+        for block in self.blocks(text or ""):
+            texts, counts, raws = zip(*block)
+            if more := sum(counts):
+                ids_hash.update((("," if n else "") + ",".join([t for t in texts if t])).encode())
+                text_hash.update(state.decode(b"".join(raws)).encode())
+                n += more
         text_hash.update(state.decode(b"", True).encode())
         return n, ids_hash.hexdigest(), text_hash.hexdigest()
 
@@ -212,7 +252,8 @@ def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row of ``docs``.
 
     Null and empty texts have no ids and the digests of an empty string. Repeated rows are returned as often; a null
-    doc_id stays null; empty tables give no rows; other columns are not read. Texts of any length use a fixed window.
+    doc_id stays null; empty tables give no rows; other columns are not read. Beside the text itself, memory is bounded
+    for texts and pre-tokens of any length.
     """
     held = _definition(docs.sparkSession, vocabulary)
 
