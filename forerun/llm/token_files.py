@@ -1,13 +1,16 @@
 """Token-id files compressed by Re-Pair, one grammar per block, with random access by expansion lengths.
 
 File format: a Parquet folder with one row per block of whole documents in ascending doc_id order. ``rules`` are pairs
-of little-endian unsigned 32-bit symbols (rule i makes symbol 65536 + i from two earlier symbols), ``lengths`` their
-expansion lengths, ``sequence`` the block's remaining symbols, ``doc_ids`` signed 64-bit and ``doc_tokens`` unsigned
-32-bit counts. Any token range is found by summing expansion lengths, and only the symbols it meets are expanded.
+of little-endian unsigned 32-bit symbols (rule i makes symbol ``FIRST_RULE`` + i from two earlier symbols), ``lengths``
+their expansion lengths, ``sequence`` the block's remaining symbols, in which no pair repeats, ``doc_ids`` signed 64-bit
+and ``doc_tokens`` unsigned 32-bit counts. Any token range is found by summing expansion lengths, and only the symbols
+it meets are expanded. A block is the unit of compression and of reading; a partition writes one after the other.
 """
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
 import zlib
 
@@ -21,11 +24,10 @@ from .common import shared_dir, table
 from .bpe_stream import tokenizer_path
 from .textkernel import LOWER, Words, steps
 
-#: First nonterminal symbol: ids of the supported vocabularies are smaller.
-FIRST_RULE = 1 << 16
-#: Tokens in a block (whole documents; a longer document is a block of its own), rounds of replacement, new rules in a
-#: round at most, and how often a pair must occur to be worth a rule.
-BLOCK_TOKENS, ROUNDS, ROUND_RULES, LEAST_COUNT = 1 << 19, 5, 4096, 12
+#: First nonterminal symbol: the ids of a vocabulary must be smaller, which ``write`` checks.
+FIRST_RULE = 1 << 20
+#: Tokens in a block (whole documents; a longer document is a block of its own).
+BLOCK_TOKENS = 1 << 19
 #: Distinct chunks that a worker remembers.
 CACHE_CHUNKS = 1 << 20
 #: Characters tokenised in one vectorised step (or one longer document).
@@ -55,8 +57,8 @@ class ChunkEncoder:
     """Encodes texts by the library, each distinct chunk once.
 
     The vocabulary's pre-tokeniser drops white space, parts letters, digits and signs, and ignores the case of A-Z, so
-    a text's ids are those of its chunks in order. Known chunks are arrays sorted by hash; a text that may hold a
-    special token is encoded whole.
+    a text's ids are those of its chunks in order. Known chunks are arrays sorted by hash, and each hit is compared by
+    its bytes. A text that may hold a special token, or a chunk that another one's hash hides, is encoded whole.
     """
 
     def __init__(self, definition: str):
@@ -65,10 +67,14 @@ class ChunkEncoder:
         self.library = Tokenizer.from_str(definition)
         self.library.no_truncation()
         self.library.no_padding()
+        added = [t["content"] for t in json.loads(definition).get("added_tokens") or [] if t["content"]]
+        self.special = re.compile("|".join(map(re.escape, added)), re.I) if added else None
         self._forget()
 
     def _forget(self) -> None:
         self.known = np.empty(0, dtype=np.uint64)
+        self.prints = np.empty((0, 3), dtype=np.uint64)
+        self.long: dict[int, bytes] = {}  # the known chunks that their prints do not tell whole
         self.first, self.size = np.empty(0, np.int64), np.empty(0, np.int64)
         self.ids = np.empty(0, dtype=np.uint32)
 
@@ -84,36 +90,41 @@ class ChunkEncoder:
             sizes.append(np.bincount(owner, minlength=len(part)))
         return np.concatenate(ids), np.concatenate(sizes)
 
-    def _learn(self, hashes: np.ndarray, chunks: list[str]) -> None:
-        if len(self.known) + len(hashes) > CACHE_CHUNKS:
-            self._forget()
-        ids, size = self._library(chunks)
+    def _learn(self, hashes: np.ndarray, prints: np.ndarray, chunks: list[bytes]) -> None:
+        ids, size = self._library([c.decode("utf-8", "surrogatepass") for c in chunks])
         first = np.cumsum(size) - size + len(self.ids)
         known = np.concatenate((self.known, hashes))
         order = np.argsort(known, kind="stable")
+        self.prints = np.concatenate((self.prints, prints))[order]
+        self.long |= {h: c for h, c in zip(hashes.tolist(), chunks) if len(c) > 16}
         self.known, self.first, self.size = known[order], np.concatenate((self.first, first))[order], np.concatenate((self.size, size))[order]
         self.ids = np.concatenate((self.ids, ids))
 
-    def _step(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, number of ids of each text)."""
+    def _step(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, number of ids of each text, texts whose ids are not to be trusted)."""
         words = Chunks(raws)
+        prints = words.prints()
         uniq, where, inverse = np.unique(words.hashes(), return_index=True, return_inverse=True)
         fresh = np.flatnonzero(~self._has(uniq))
+        low = words.low.tobytes()
+        if len(self.known) + len(fresh) > CACHE_CHUNKS and len(fresh):
+            # nothing is known from now on but what this step needs
+            self._forget()
+            fresh = np.arange(len(uniq))
         if len(fresh):
-            low = words.low.tobytes()
             spans = zip(words.start[where[fresh]].tolist(), words.end[where[fresh]].tolist())
-            if len(self.known) + len(fresh) > CACHE_CHUNKS:
-                # nothing is known from now on but what this step needs
-                self._forget()
-                fresh = np.arange(len(uniq))
-                spans = zip(words.start[where].tolist(), words.end[where].tolist())
-            self._learn(uniq[fresh], [low[a:b].decode("utf-8", "surrogatepass") for a, b in spans])
-        at = np.searchsorted(self.known, uniq)[inverse]
+            self._learn(uniq[fresh], prints[where[fresh]], [low[a:b] for a, b in spans])
+        place = np.searchsorted(self.known, uniq)
+        at = place[inverse]
+        wrong = (self.prints[at] != prints).any(1) if len(at) else np.zeros(0, bool)
+        for i in np.flatnonzero(prints[:, 0] > 16).tolist():
+            wrong[i] |= self.long.get(int(self.known[at[i]])) != low[words.start[i] : words.end[i]]
         n = self.size[at]
         ends = np.cumsum(n)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.ids[np.arange(total) + np.repeat(self.first[at] - ends + n, n)]
-        return ids, np.diff(np.concatenate(([0], ends))[words.offset])
+        hidden = np.unique(np.searchsorted(words.offset, np.flatnonzero(wrong), side="right") - 1)
+        return ids, np.diff(np.concatenate(([0], ends))[words.offset]), hidden
 
     def _has(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.known):
@@ -123,12 +134,14 @@ class ChunkEncoder:
     def encode(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
         """(all ids in order, number of ids of each text), ``end`` appended to each text."""
         parts, sizes = [], np.zeros(len(texts), dtype=np.int64)
-        whole = {i: np.array(self.library.encode(t, add_special_tokens=False).ids, dtype=np.uint32) for i, t in enumerate(texts) if t and "<|" in t}
-        for part in steps(["" if i in whole else t for i, t in enumerate(texts)]):
-            ids, n = self._step([b for _, b in part])
+        whole = lambda t: np.array(self.library.encode(t, add_special_tokens=False).ids, dtype=np.uint32)
+        special = {i for i, t in enumerate(texts) if t and self.special and self.special.search(t)}
+        for part in steps(["" if i in special else t for i, t in enumerate(texts)]):
+            ids, n, hidden = self._step([b for _, b in part])
+            alone = special | {part[j][0] for j in hidden.tolist()}
             at = 0
             for (i, _), k in zip(part, n.tolist()):
-                parts += [whole.get(i, ids[at : at + k]), np.array([end], dtype=np.uint32)]
+                parts += [whole(texts[i]) if i in alone else ids[at : at + k], np.array([end], dtype=np.uint32)]
                 sizes[i] = len(parts[-2]) + 1
                 at += k
         return (np.concatenate(parts) if parts else np.empty(0, np.uint32)), sizes
@@ -150,75 +163,103 @@ class Chunks(Words):
         self.offset = np.concatenate(([0], np.searchsorted(self.start, self.doc_end)))
 
 
+    def prints(self) -> np.ndarray:
+        """(length, first eight bytes, last eight bytes) of each run; of one of at most 16 bytes that is all of it."""
+        padded = np.concatenate((self.low, np.zeros(8, np.uint8)))
+        eight = np.ndarray(len(self.low) + 1, dtype="<u8", buffer=padded.data, strides=(1,))
+        size = self.end - self.start
+        mask = ~np.uint64(0) >> (np.uint64(8) * (8 - np.minimum(size, 8)).astype(np.uint64))
+        return np.stack((size.astype(np.uint64), eight[self.start] & mask, eight[np.maximum(self.end - 8, self.start)] & mask), axis=1)
+
+
 def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rules, expansion lengths, sequence): Re-Pair in rounds, each replacing its most frequent pairs at once.
+    """(rules, expansion lengths, sequence): Re-Pair, until no pair occurs twice without overlap.
 
-    In a run of selected pairs that overlap, every other one is replaced, from the left.
+    Each round counts the pairs, in a run of one symbol every other one, and replaces those that are more frequent than
+    the pairs that overlap them (of equally frequent ones the larger symbols), if that replaces a pair twice at least.
+    The most frequent pair always is. A pair that occurs once stays so, as later rounds make no pair of old symbols, so
+    only the others and the neighbours of new symbols are counted again.
     """
     sequence = ids.astype(np.int64)
     rules, lengths = [], []
-    at = FIRST_RULE
-    size = np.ones(FIRST_RULE, dtype=np.int64)
-    for _ in range(ROUNDS):
-        if len(sequence) < 2:
+    at, size = FIRST_RULE, np.empty(0, dtype=np.int64)
+    open_ = np.ones(len(sequence), dtype=bool)  # whether the pair that begins here may occur again
+    while True:
+        place = np.flatnonzero(open_[:-1])
+        if len(place) < 2:
             break
-        keys = sequence[:-1] << 32 | sequence[1:]
-        ordered = np.sort(keys)
+        key = sequence[place] << 32 | sequence[place + 1]
+        # in a run of one symbol the pairs overlap: only every other one counts
+        same = np.flatnonzero((key >> 32) == (key & 0xFFFFFFFF))
+        if len(same):
+            begin = np.concatenate(([True], (np.diff(place[same]) != 1) | (np.diff(key[same]) != 0)))
+            first = np.flatnonzero(begin)
+            inside = np.arange(len(same)) - np.repeat(first, np.diff(np.concatenate((first, [len(same)]))))
+            skip = np.ones(len(place), dtype=bool)
+            skip[same[inside % 2 == 1]] = False
+            place, key = place[skip], key[skip]
+        order = np.argsort(key)
+        ordered = key[order]
         edge = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
         count = np.diff(np.concatenate((edge, [len(ordered)])))
-        often = np.flatnonzero(count >= LEAST_COUNT)
-        if not len(often):
+        rank = np.empty(len(edge), dtype=np.int64)
+        rank[np.lexsort((edge, count))] = np.arange(1, len(edge) + 1)
+        rank[count < 2] = 0
+        if not rank.any():
             break
-        if len(often) > ROUND_RULES:
-            often = often[np.argpartition(-count[often], ROUND_RULES)[:ROUND_RULES]]
-        chosen = ordered[edge[often]]
-        # an open table of the chosen pairs: slot by hash, so most positions are dismissed by one look
-        bits = 18
-        slot = lambda k: ((k.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).view(np.int64)
-        held = np.full(1 << bits, -1, dtype=np.int64)
-        s = slot(chosen)
-        held[s] = chosen
-        chosen = np.sort(held[np.unique(s)])  # of pairs that share a slot one waits for the next round
-        name = np.zeros(1 << bits, dtype=np.int64)
-        name[slot(chosen)] = at + np.arange(len(chosen))
-        where = slot(keys)
-        hit = np.flatnonzero(held[where] == keys)
-        run = np.flatnonzero(np.concatenate(([True], np.diff(hit) != 1)))
-        place = np.arange(len(hit)) - np.repeat(run, np.diff(np.concatenate((run, [len(hit)]))))
-        hit = hit[place % 2 == 0]
-        sequence[hit] = name[where[hit]]
-        sequence = np.delete(sequence, hit + 1)
-        pair = np.stack((chosen >> 32, chosen & 0xFFFFFFFF), axis=1)
-        grown = size[pair[:, 0]] + size[pair[:, 1]]
+        pair = np.empty(len(place), dtype=np.int64)
+        pair[order] = np.repeat(np.arange(len(edge)), count)
+        weight = np.zeros(len(sequence) + 1, dtype=np.int64)  # the last one stands for both ends
+        weight[place] = rank[pair]
+        chosen = np.flatnonzero((weight[place] > weight[place - 1]) & (weight[place] > weight[place + 1]))
+        uses = np.bincount(pair[chosen], minlength=len(edge))
+        chosen = chosen[uses[pair[chosen]] > 1]
+        made = np.flatnonzero(uses > 1)
+        name = np.zeros(len(edge), dtype=np.int64)
+        name[made] = at + np.arange(len(made))
+        both = np.stack((ordered[edge[made]] >> 32, ordered[edge[made]] & 0xFFFFFFFF), axis=1)
+        grown = _sizes(both, size).sum(1)
+        hit = place[chosen]
+        open_ = weight[:-1] > 0
+        open_[hit] = open_[np.maximum(hit - 1, 0)] = True
+        sequence[hit] = name[pair[chosen]]
+        stays = np.ones(len(sequence), dtype=bool)
+        stays[hit + 1] = False
+        sequence, open_ = sequence[stays], open_[stays]
         size = np.concatenate((size, grown))
-        rules.append(pair)
+        rules.append(both)
         lengths.append(grown)
-        at += len(chosen)
+        at += len(made)
     flat = np.concatenate(rules) if rules else np.empty((0, 2), np.int64)
     return flat.astype(np.uint32), (np.concatenate(lengths) if lengths else np.empty(0)).astype(np.uint32), sequence.astype(np.uint32)
 
 
+def _sizes(symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The expansion lengths of symbols."""
+    out = np.ones(symbols.shape, dtype=np.int64)
+    big = symbols >= FIRST_RULE
+    out[big] = lengths[symbols[big] - FIRST_RULE]
+    return out
+
+
 def expand(rules: np.ndarray, lengths: np.ndarray, sequence: np.ndarray, start: int = 0, stop: int | None = None) -> np.ndarray:
     """Tokens [start, stop) of a block; only the symbols that overlap the range are expanded."""
-    size = np.concatenate((np.ones(FIRST_RULE, dtype=np.int64), lengths.astype(np.int64)))
-    ends = np.cumsum(size[sequence]) if len(sequence) else np.zeros(0, np.int64)
+    size = _sizes(sequence, lengths)
+    ends = np.cumsum(size)
     total = int(ends[-1]) if len(ends) else 0
     stop = total if stop is None else min(stop, total)
     if start >= stop:
         return np.empty(0, dtype=np.uint32)
     a, b = np.searchsorted(ends, start, side="right"), np.searchsorted(ends, stop, side="left") + 1
-    skip = start - (int(ends[a - 1]) if a else 0)
-    out = sequence[a:b].astype(np.int64)
-    while len(big := np.flatnonzero(out >= FIRST_RULE)):
-        n = np.ones(len(out), dtype=np.int64)
-        n[big] = 2
-        first = np.cumsum(n) - n
-        grown = np.empty(int(n.sum()), dtype=np.int64)
-        grown[first] = out
-        pair = rules[out[big] - FIRST_RULE]
-        grown[first[big]], grown[first[big] + 1] = pair[:, 0], pair[:, 1]
-        out = grown
-    return out[skip : skip + stop - start].astype(np.uint32)
+    begin = int(ends[a] - size[a])
+    out = np.empty(int(ends[b - 1]) - begin, dtype=np.uint32)
+    symbol, place = sequence[a:b].astype(np.int64), ends[a:b] - size[a:b] - begin
+    while len(symbol):
+        plain = symbol < FIRST_RULE
+        out[place[plain]] = symbol[plain]
+        pair, place = rules[symbol[~plain] - FIRST_RULE].astype(np.int64), place[~plain]
+        symbol, place = pair.ravel(), np.stack((place, place + _sizes(pair[:, 0], lengths)), axis=1).ravel()
+    return out[start - begin : stop - begin]
 
 
 _made: dict[int, ChunkEncoder] = {}
@@ -244,11 +285,15 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2) -> None:
     """Encode every document, ``end_id`` after each, and write the blocks to ``path`` in ascending doc_id order.
 
     Null and empty texts are their end id alone. Rows without doc_id are left out, as they have no place in the order;
-    repeated ids stay, ordered by text. No rows give a folder with no blocks. Other columns are not read.
+    repeated ids stay, ordered by text. No rows give a folder with no blocks. Other columns are not read. A vocabulary
+    with ids from ``FIRST_RULE`` on is refused.
     """
     spark = docs.sparkSession
     with open(vocabulary, encoding="utf-8") as f:
-        held = spark.sparkContext.broadcast(f.read())  # a vocabulary file: about 1.7 MB, whatever the input
+        definition = f.read()
+    if max(end_id, *ChunkEncoder(definition).library.get_vocab().values()) >= FIRST_RULE:
+        raise ValueError(f"{vocabulary} has ids from {FIRST_RULE} on, which the file format keeps for its rules")
+    held = spark.sparkContext.broadcast(definition)  # a vocabulary file: about 1.7 MB, whatever the input
 
     def run(batches):
         encoder, shard, block = _worker(held.value), TaskContext.get().partitionId(), 0
