@@ -16,6 +16,8 @@ class Config:
     threshold_mult: float = 1.0
     # Calibrated thresholds by symbol root.
     threshold_by_sym: dict[str, float] = field(default_factory=lambda: {"BTC": 3.0, "DOGE": 4.0, "ETH": 5.0, "SOL": 4.0, "XRP": 4.0})
+    #: Raw symbols and their roots; empty: every symbol is its own root.
+    symbols: dict[str, str] = field(default_factory=dict)
     mode: str = "tickwise"
     move_window: int = 500_000
     basis: str = "log"

@@ -57,7 +57,12 @@ def folded(series: DataFrame, mode: str, keys: list[str], time: str, seq: str, v
     """(keys, time, seq, dir, size) of the firings of a resettable detector."""
     make = _FOLDS[mode]
     rows = series.where(F.col(value).isNotNull())
-    return K.fold(rows, keys, [time, seq], [time, value], lambda *key: make(thr, window, basis), {"dir": "int", "size": "double"})
+    return K.fold(rows, keys, [time, seq], [time, value], lambda *key: make(thr, window, basis), {"dir": "int", "size": "double"}, _quiet(mode, time, window))
+
+
+def _quiet(mode: str, time: str, window: int) -> tuple[str, int] | None:
+    """The silence after which a detector starts anew; the cumulative one never does."""
+    return None if mode == "cumulative" else (time, window)
 
 
 def detect(series: DataFrame, mode: str, keys: list[str], time: str, seq: str, value: str, thr: float, window: int, basis: str) -> DataFrame:
@@ -84,7 +89,13 @@ def quote_moves(quotes: DataFrame, cfg: Config) -> DataFrame:
     by, default, mult = cfg.threshold_by_sym, cfg.threshold_bps, cfg.threshold_mult
     make, window, basis = _FOLDS[cfg.mode], cfg.move_window, cfg.basis
     # the detector's clock is the event time even where it is not monotonic in arrival order
-    fired = K.fold(quotes, LEG, ["recv_us", "seq"], ["event_us", "mid"], lambda sym, *_: _with_row(make(mult * by.get(sym, default) / 1e4, window, basis)), {"event_us": "long", "mid": "double", "dir": "int", "size": "double"})
+    fired = K.fold(quotes, LEG, ["recv_us", "seq"], ["event_us", "mid"], lambda sym, *_: _with_row(make(mult * by.get(sym, default) / 1e4, window, basis)), {"event_us": "long", "mid": "double", "dir": "int", "size": "double"}, _quiet(cfg.mode, "event_us", window))
+    return fired.select(*LEG, "event_us", "recv_us", "seq", "mid", (F.col("dir") * F.col("size") * 10000).alias("move_bps"), _direction(F.col("dir")).alias("direction"))
+
+
+def trade_moves(trades: DataFrame, cfg: Config) -> DataFrame:
+    """Moves of trade prices: winreset on logarithmic returns in receive order, with a bar and a state of its own."""
+    fired = K.fold(trades, LEG, ["recv_us", "seq"], ["event_us", "px"], lambda *_: _with_row(K.winreset(cfg.trade_bps / 1e4, cfg.move_window, "log")), {"event_us": "long", "mid": "double", "dir": "int", "size": "double"}, _quiet("winreset", "event_us", cfg.move_window))
     return fired.select(*LEG, "event_us", "recv_us", "seq", "mid", (F.col("dir") * F.col("size") * 10000).alias("move_bps"), _direction(F.col("dir")).alias("direction"))
 
 

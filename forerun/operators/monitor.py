@@ -23,8 +23,11 @@ def skew_stats(samples: DataFrame, cfg: Config) -> DataFrame:
 
 
 def dead_band(stats: DataFrame, cfg: Config) -> DataFrame:
-    """One row: the measured band, and the one in force (fixed: the floor; auto: the larger of both)."""
-    measured = F.coalesce(F.round(F.sqrt(F.lit(2.0)) * F.max("jitter_us")), F.lit(0)).cast("long")
+    """One row: the measured band, and the one in force (fixed: the floor; auto: the larger of both).
+
+    Where no leg has samples enough, nothing is measured and the floor stands for it.
+    """
+    measured = F.coalesce(F.round(F.sqrt(F.lit(2.0)) * F.max("jitter_us")), F.lit(cfg.dead_band)).cast("long")
     force = F.greatest(F.lit(cfg.dead_band), F.col("measured_us")) if cfg.dead_band_mode == "auto" else F.lit(cfg.dead_band)
     return stats.agg(measured.alias("measured_us")).select("measured_us", force.cast("long").alias("dead_band_us"))
 
@@ -134,6 +137,31 @@ def leg_freshness(quotes: DataFrame, now: int) -> DataFrame:
     return last.select(*LEG, ((F.lit(now) - F.col("q.recv_us")) / 1000).alias("age_ms"), F.col("q.mid").alias("mid"))
 
 
+def silent_legs(quotes: DataFrame, times: DataFrame, gap: int) -> DataFrame:
+    """(ts, leg) of the legs without a quote within ``gap`` up to each evaluation time; buckets of ``gap`` are joined."""
+    q = quotes.select(*LEG, "recv_us", F.floor(F.col("recv_us") / gap).alias("bucket"))
+    legs = quotes.select(*LEG).distinct().join(F.broadcast(times.select("ts")))  # legs by evaluation times: both small
+    near = legs.withColumn("bucket", F.explode(F.array(F.floor(F.col("ts") / gap), F.floor(F.col("ts") / gap) - 1)))
+    heard = near.join(q, [*LEG, "bucket"]).where((F.col("recv_us") <= F.col("ts")) & (F.col("recv_us") >= F.col("ts") - gap)).select("ts", *LEG).distinct()
+    return legs.join(heard, ["ts", *LEG], "left_anti")
+
+
+def uptime_ms(spark, legs: DataFrame | None, now_ms: int) -> int:
+    """Milliseconds since the application began; where that is unknown, since the earliest tick of a leg, else 0."""
+    began = getattr(spark.sparkContext, "startTime", None)
+    if began is None and legs is not None:
+        first = legs.agg(F.min("recv_us")).first()[0]
+        began = None if first is None else first // 1000
+    return 0 if began is None else max(0, now_ms - int(began))
+
+
+def memory(spark) -> dict[str, int]:
+    """Bytes that executors may store, those that are free, and how many executors there are."""
+    status = spark.sparkContext._jsc.sc().getExecutorMemoryStatus()
+    pairs = [(t._1(), t._2()) for t in (v for v in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(status).values())]
+    return {"storage_bytes": sum(int(p[0]) for p in pairs), "free_bytes": sum(int(p[1]) for p in pairs), "executors": len(pairs)}
+
+
 def venue_rollup(health: DataFrame) -> DataFrame:
     return health.groupBy("venue").agg(F.sum("ticks_per_min").alias("ticks_per_min"), F.max("last_tick_age_ms").alias("max_age_ms"), F.max("invalid_share").alias("max_invalid_share"))
 

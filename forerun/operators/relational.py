@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -24,10 +24,6 @@ def upsert(state: DataFrame, changes: DataFrame, keys: list[str], order: list[st
     return both.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_o").alias("v")).select(*keys, *[F.col(f"v.{c}").alias(c) for c in rest])
 
 
-def latest(df: DataFrame, keys: list[str], value: Column, order: Column) -> Column:
-    return F.max_by(value, order)
-
-
 def as_of(df: DataFrame, keys: list[str], time: str, seq: str, value: str, back: int, name: str) -> DataFrame:
     """The value at or before ``time - back`` within the key, else the key's first value."""
     by = Window.partitionBy(*keys).orderBy(time)
@@ -45,6 +41,34 @@ def nearest_rank(df: DataFrame, keys: list[str], value: str, ranks: dict[str, fl
     return cum.groupBy(*keys).agg(*picks, F.first("_all").alias("n"))
 
 
+def medians(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """(keys, name): the median, between the middle two of an even number; values are counted before the shuffle."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(*keys)
+    cum = counts.withColumn("_upto", F.sum("_n").over(w.orderBy(value))).withColumn("_all", F.sum("_n").over(w))
+    low = F.min(F.when(2 * F.col("_upto") >= F.col("_all"), F.col(value)))
+    high = F.min(F.when(2 * F.col("_upto") > F.col("_all"), F.col(value)))
+    return cum.groupBy(*keys).agg(((low + high) / 2).alias(name))
+
+
+def placed(df: DataFrame, time: str, order: list[str], name: str = "place") -> DataFrame:
+    """``df`` with each row's place (from 1) in the whole order: ranges of ``time`` are numbered side by side.
+
+    The ranges' bounds are approximate quantiles, as many as there are shuffle partitions; a range's offset is the
+    number of rows before it.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = sorted(set(df.approxQuantile(time, [i / parts for i in range(1, parts)], 0.01))) if parts > 1 else []
+    found = F.lit(0)
+    for i, bound in enumerate(bounds):
+        found = F.when(F.col(time) > bound, i + 1).otherwise(found)
+    rows = df.withColumn("_range", found)
+    sizes = rows.groupBy("_range").agg(F.count("*").alias("_n"))
+    offsets = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))  # one row a range
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return rows.withColumn("_inside", inside).join(F.broadcast(offsets), "_range").withColumn(name, F.col("_before") + F.col("_inside")).drop("_range", "_inside", "_before")
+
+
 def absent_from(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose key tuple is not in ``right``; nulls equal each other, and repeated rows stay."""
     cond = None

@@ -229,17 +229,17 @@ def j9(spark, sf):
     return M.quotes(spark, sf).join(moves(spark, sf).where("direction = 'up' AND move_bps > 500000").select(*LEG), LEG, "left_semi").select("seq")
 
 
-@query("j10_anti_null_safe", f"WITH {O.BOOK_SQL}, k AS (SELECT CASE WHEN sym = 'view' THEN NULL ELSE sym END AS sym, venue, seq FROM b) SELECT seq FROM k WHERE NOT EXISTS (SELECT 1 FROM k o WHERE o.seq % 97 = 0 AND o.sym IS NOT DISTINCT FROM k.sym AND o.venue = k.venue AND o.venue <> 'V1')")
+@query("j10_anti_null_safe", f"WITH {O.BOOK_SQL}, k AS (SELECT CASE WHEN sym = 'view' THEN NULL ELSE sym END AS sym, venue, inst, seq, bid FROM b) SELECT seq FROM k WHERE NOT EXISTS (SELECT 1 FROM k o WHERE o.bid IS NULL AND o.inst = 'PERP' AND o.sym IS NOT DISTINCT FROM k.sym AND o.venue = k.venue AND o.venue <> 'V1')")
 def j10(spark, sf):
-    k = M.book(spark, sf).select(F.when(F.col("sym") != "view", F.col("sym")).alias("sym"), "venue", "seq")
-    return relational.absent_from(k, k.where("seq % 97 = 0 AND venue <> 'V1'"), ["sym", "venue"]).select("seq")
+    k = M.book(spark, sf).select(F.when(F.col("sym") != "view", F.col("sym")).alias("sym"), "venue", "inst", "seq", "bid")
+    return relational.absent_from(k, k.where("bid IS NULL AND inst = 'PERP' AND venue <> 'V1'"), ["sym", "venue"]).select("seq")
 
 
-@query("j11_upsert", f"WITH {O.BOOK_SQL}, u AS (SELECT {L}, mid, 0 AS side, 0 AS recv_us, 0 AS seq FROM q WHERE seq < 500 AND seq % 5 = 0 UNION ALL SELECT {L}, mid, 1, recv_us, seq FROM q WHERE seq >= 300), x AS (SELECT *, row_number() OVER (PARTITION BY {L} ORDER BY side DESC, recv_us DESC, seq DESC) AS rn FROM u) SELECT {L}, {r6('mid')} FROM x WHERE rn = 1 AND side = 1")
+@query("j11_upsert", f"WITH {O.BOOK_SQL}, u AS (SELECT {L}, mid, 0 AS side, 0 AS recv_us, 0 AS seq FROM q WHERE recv_us < {MID} UNION ALL SELECT {L}, mid, 1, recv_us, seq FROM q WHERE recv_us >= {MID}), x AS (SELECT *, row_number() OVER (PARTITION BY {L} ORDER BY side DESC, recv_us DESC, seq DESC) AS rn FROM u) SELECT {L}, {r6('mid')} FROM x WHERE rn = 1 AND side = 1")
 def j11(spark, sf):
     q = M.quotes(spark, sf)
-    state = q.where("seq < 500 AND seq % 5 = 0").groupBy(*LEG).agg(F.min("mid").alias("mid"))
-    changes = q.where("seq >= 300")
+    state = q.where(F.col("recv_us") < MID).groupBy(*LEG).agg(F.min("mid").alias("mid"))
+    changes = q.where(F.col("recv_us") >= MID)
     merged = relational.upsert(state, changes.select(*LEG, "mid", "recv_us", "seq"), LEG, ["recv_us", "seq"])
     return merged.join(changes.select(*LEG).distinct(), LEG, "left_semi")
 
@@ -284,7 +284,7 @@ def a7(spark, sf):
 
 @query("a8_median", f"WITH {O.BOOK_SQL} SELECT sym, round(median((ask - bid) / mid * 10000), 6) AS spread_bps FROM q GROUP BY 1")
 def a8(spark, sf):
-    return M.quotes(spark, sf).groupBy("sym").agg(F.median((F.col("ask") - F.col("bid")) / F.col("mid") * 10000).alias("spread_bps"))
+    return relational.medians(M.quotes(spark, sf).withColumn("spread", (F.col("ask") - F.col("bid")) / F.col("mid") * 10000), ["sym"], "spread", "spread_bps")
 
 
 @query("a9_population_stdev", f"WITH {O.BOOK_SQL}, x AS (SELECT sym, (mid - lag(mid) OVER w) / lag(mid) OVER w AS r FROM q WINDOW w AS (PARTITION BY {L} ORDER BY recv_us, seq)) SELECT sym, round(stddev_pop(r), 6) AS dev FROM x GROUP BY 1")
@@ -392,12 +392,12 @@ def w8(spark, sf):
     return detect.imbalance_bars(M.trades(spark, sf).withColumn("signed", signed), CFG.with_(bar_by_sym={}, bar_default=_BAR))
 
 
-_TRADE_SRC = f"{O.TRADES_SQL}, src AS (SELECT {L}, recv_us AS t, seq, px AS v FROM t WHERE sym = 'P0')"
+_TRADE_SRC = f"{O.TRADES_SQL}, src AS (SELECT {L}, recv_us AS t, seq, px AS v FROM t)"
 
 
 @query("w9_trade_winreset", _winreset_sql(_TRADE_SRC, LEG, 0.35, 96 * HOUR))
 def w9(spark, sf):
-    t = M.trades(spark, sf).where("sym = 'P0'").select(*LEG, F.col("recv_us").alias("t"), "seq", "px")
+    t = M.trades(spark, sf).select(*LEG, F.col("recv_us").alias("t"), "seq", "px")
     return detect.detect(t, "winreset", LEG, "t", "seq", "px", 0.35, 96 * HOUR, "log")
 
 
@@ -423,25 +423,31 @@ def w12(spark, sf):
     return detect.runs(s, LEG, "t", "seq")
 
 
-@query("w13_rolling_median", f"WITH {O.BOOK_SQL}, x AS (SELECT sym, seq, CASE WHEN count(*) OVER w >= 20 THEN CAST(trunc(median(recv_us - event_us) OVER w) AS BIGINT) ELSE -1 END AS median FROM q WINDOW w AS (PARTITION BY sym ORDER BY recv_us, seq ROWS 199 PRECEDING)) SELECT * FROM x")
+@query("w13_rolling_median", f"WITH {O.BOOK_SQL}, x AS (SELECT sym, seq, CASE WHEN count(*) OVER w >= 20 THEN CAST(trunc(median(recv_us - event_us) OVER w) AS DOUBLE) END AS median FROM q WINDOW w AS (PARTITION BY sym ORDER BY recv_us, seq ROWS 199 PRECEDING)) SELECT * FROM x")
 def w13(spark, sf):
     s = M.quotes(spark, sf).select("sym", "recv_us", "seq", (F.col("recv_us") - F.col("event_us")).alias("d"))
-    return venues.rolling_median(s, ["sym"], "recv_us", "seq", "d").select("sym", "seq", F.coalesce("median", F.lit(-1)).alias("median"))
+    return venues.rolling_median(s, ["sym"], "recv_us", "seq", "d").select("sym", "seq", F.col("median").cast("double").alias("median"))
 
 
-@query("w14_change_only", f"WITH {O.BOOK_SQL}, x AS (SELECT seq, sym, round(bid) AS b1, lag(round(bid)) OVER w AS b0, row_number() OVER w AS n FROM b WINDOW w AS (PARTITION BY {L} ORDER BY recv_us, seq)) SELECT seq, sym FROM x WHERE n = 1 OR b1 IS DISTINCT FROM b0")
+@query("w13_stale_offset", f"WITH {O.BOOK_SQL}, x AS (SELECT sym, recv_us, seq, CASE WHEN count(*) OVER w >= 20 THEN CAST(trunc(median(recv_us - event_us) OVER w) AS BIGINT) END AS median FROM q WHERE inst = 'SPOT' WINDOW w AS (PARTITION BY sym ORDER BY recv_us, seq ROWS 199 PRECEDING)), y AS (SELECT p.seq, p.recv_us, (SELECT {{'at': x.recv_us, 'median': x.median}} FROM x WHERE x.sym = p.sym AND x.recv_us <= p.recv_us ORDER BY x.recv_us DESC, x.seq DESC LIMIT 1) AS o FROM q p WHERE p.inst = 'PERP') SELECT seq, CAST(CASE WHEN recv_us - o.at <= {3 * HOUR} THEN o.median END AS DOUBLE) AS offset_us FROM y")
+def w13_stale(spark, sf):
+    q = M.quotes(spark, sf).select("sym", "inst", "recv_us", "seq", (F.col("recv_us") - F.col("event_us")).alias("d"))
+    medians = venues.rolling_median(q.where("inst = 'SPOT'"), ["sym"], "recv_us", "seq", "d")
+    return venues.clock_offsets(q.where("inst = 'PERP'"), medians, ["sym"], 3 * HOUR).select("seq", F.col("offset_us").cast("double").alias("offset_us"))
+
+
+@query("w14_change_only", f"WITH {O.BOOK_SQL}, x AS (SELECT seq, sym, round(bid) AS b1, lag(round(bid)) OVER w AS b0, row_number() OVER w AS n FROM b WINDOW w AS (PARTITION BY {L} ORDER BY recv_us, seq)) SELECT seq, sym FROM x WHERE n = 1 OR b1 IS DISTINCT FROM b0 OR seq % 97 = 0")
 def w14(spark, sf):
     b = M.book(spark, sf).withColumn("top", F.round("bid"))
-    return venues.changed(b, LEG, "recv_us", "seq", ["top"]).select("seq", "sym")
+    return venues.changed(b, LEG, "recv_us", "seq", ["top"], F.col("seq") % 97 == 0).select("seq", "sym")
 
 
 # --- order, limits, sets ----------------------------------------------------------------------------------------------
 
 
-@query("o1_sorted", f"WITH {O.BOOK_SQL} SELECT seq, row_number() OVER (ORDER BY recv_us, seq) AS place FROM q WHERE sym = 'click'")
+@query("o1_sorted", f"WITH {O.BOOK_SQL} SELECT seq, row_number() OVER (ORDER BY recv_us, seq) AS place FROM q")
 def o1(spark, sf):
-    q = M.quotes(spark, sf).where("sym = 'click'")
-    return q.select("seq", F.row_number().over(Window.orderBy("recv_us", "seq")).cast("long").alias("place"))
+    return relational.placed(M.quotes(spark, sf).select("seq", "recv_us"), "recv_us", ["recv_us", "seq"]).select("seq", F.col("place").cast("long").alias("place"))
 
 
 @query("o2_recent", f"WITH {O.MOVES_SQL} SELECT seq, recv_us FROM mv ORDER BY recv_us DESC, seq DESC LIMIT 20")
@@ -462,13 +468,15 @@ def o4(spark, sf):
 
 @query("o5_sorted_vector", f"WITH {O.BOOK_SQL} SELECT venue, inst, list_sort(list(seq))[3] AS third FROM q GROUP BY ALL")
 def o5(spark, sf):
-    return M.quotes(spark, sf).groupBy("venue", "inst").agg(F.get(F.sort_array(F.collect_list("seq")), F.lit(2)).alias("third"))
+    q = M.quotes(spark, sf).select("venue", "inst", "seq")
+    first = q.withColumn("no", F.row_number().over(Window.partitionBy("venue", "inst").orderBy("seq"))).where("no <= 3")  # cut before the shuffle
+    return first.groupBy("venue", "inst").agg(F.max(F.when(F.col("no") == 3, F.col("seq"))).alias("third"))
 
 
-@query("u1_append", f"WITH {O.BOOK_SQL} SELECT seq FROM q WHERE seq % 2 = 0 UNION ALL SELECT seq FROM q WHERE seq % 3 = 0")
+@query("u1_append", f"WITH {O.BOOK_SQL} SELECT seq FROM q WHERE inst = 'SPOT' UNION ALL SELECT seq FROM q WHERE venue = 'V0'")
 def u1(spark, sf):
-    q = M.quotes(spark, sf).select("seq")
-    return q.where("seq % 2 = 0").unionByName(q.where("seq % 3 = 0"))
+    q = M.quotes(spark, sf)
+    return q.where("inst = 'SPOT'").select("seq").unionByName(q.where("venue = 'V0'").select("seq"))
 
 
 @query("u2_union_keys", f"WITH {O.MOVES_SQL}, {O.pairs(CFG)} SELECT sym, lead_venue AS venue, lead_inst AS inst FROM pm UNION SELECT sym, follow_venue, follow_inst FROM pm")
@@ -477,10 +485,10 @@ def u2(spark, sf):
     return p.select("sym", F.col("lead_venue").alias("venue"), F.col("lead_inst").alias("inst")).union(p.select("sym", "follow_venue", "follow_inst")).distinct()
 
 
-@query("u3_multiset_difference", f"WITH {O.BOOK_SQL} SELECT sym, venue FROM q WHERE (sym, venue) NOT IN (SELECT (sym, venue) FROM q WHERE seq < 5)")
+@query("u3_multiset_difference", f"WITH {O.BOOK_SQL} SELECT sym, venue FROM q WHERE (sym, venue) NOT IN (SELECT (sym, venue) FROM q WHERE inst = 'PERP' AND ask - bid > 0.2)")
 def u3(spark, sf):
     q = M.quotes(spark, sf)
-    return relational.absent_from(q.select("sym", "venue"), q.where("seq < 5"), ["sym", "venue"])
+    return relational.absent_from(q.select("sym", "venue"), q.where("inst = 'PERP' AND ask - bid > 0.2"), ["sym", "venue"])
 
 
 # --- scalar functions -------------------------------------------------------------------------------------------------
@@ -656,10 +664,7 @@ UNION ALL SELECT n.ts, a.sym, a.venue, a.inst, 'feedstale', 'recovery' FROM act
 def h4(spark, sf):
     q = M.quotes(spark, sf)
     times = spark.range(10).select((F.lit(MID) + F.col("id") * 12 * HOUR).alias("ts"))
-    legs = q.select(*LEG).distinct().join(F.broadcast(times))  # legs by evaluation times: both small
-    t, r = legs.alias("t"), q.select(*LEG, "recv_us").alias("r")
-    same = (F.col("t.sym") == F.col("r.sym")) & (F.col("t.venue") == F.col("r.venue")) & (F.col("t.inst") == F.col("r.inst"))
-    quiet = t.join(r, same & F.col("r.recv_us").between(F.col("t.ts") - 3 * HOUR, F.col("t.ts")), "left_anti")
+    quiet = monitor.silent_legs(q, times, 3 * HOUR)
     return monitor.edges(quiet.withColumn("alert_type", F.lit("feedstale")), times)
 
 
@@ -686,6 +691,22 @@ def c3(spark, sf):
     return recal.calibrate(M.quotes(spark, sf), CFG.with_(recal_rate=1.0))
 
 
+_C_SRC = f"{O.BOOK_SQL}, src AS (SELECT sym, recv_us, seq, event_us AS et, mid AS v, (ask - bid) / mid * 10000 AS spread FROM q)"
+
+
+@query("c1_move_rate", f"{_winreset_sql(f'{O.BOOK_SQL}, src AS (SELECT sym, event_us AS t, seq, mid AS v FROM q)', ['sym'], 2.0, CFG.move_window).rsplit('SELECT', 1)[0]} SELECT sym, count(*) FILTER (dir <> 0) AS fired, count(*) AS n FROM fold GROUP BY sym")
+def c1(spark, sf):
+    # events come in the order of their clock here, so that both sides fold alike
+    q = M.quotes(spark, sf).withColumn("recv_us", F.col("event_us"))
+    counts = {k: v[1] for k, v in recal.move_rates(q, {r["sym"]: [50000.0, 20000.0, 10000.0] for r in q.select("sym").distinct().collect()}, CFG).items()}
+    return q.groupBy("sym").agg(F.count("*").alias("n")).withColumn("fired", E.lookup(counts, F.col("sym"), F.lit(0)).cast("long"))
+
+
+@query("c2_unit", f"WITH {_C_SRC}, x AS (SELECT *, ln(v / lag(v) OVER (PARTITION BY sym ORDER BY recv_us, seq)) AS step FROM src), f AS (SELECT sym, first(et ORDER BY recv_us, seq) AS a, last(et ORDER BY recv_us, seq) AS b FROM src GROUP BY sym) SELECT sym, count(*) AS n, round((any_value(b) - any_value(a)) / {HOUR}, 6) AS span_hours, round(greatest(median(spread), 10000 * stddev_pop(step)), 6) AS unit FROM x JOIN f USING (sym) GROUP BY sym")
+def c2(spark, sf):
+    return recal.unit_bps(M.quotes(spark, sf), CFG)
+
+
 _GATE = "CASE WHEN n IS NULL OR n = 0 THEN 'SKIP_NODATA' WHEN n < 300 OR span_hours < 0.5 THEN 'SKIP_THIN' WHEN NOT bps BETWEEN 0.1 AND 100 THEN 'SKIP_BOUNDS' WHEN floored THEN 'OK_FLOORED' ELSE 'OK' END"
 
 
@@ -698,7 +719,8 @@ def c4(spark, sf):
 @query("c5_recal_series", f"WITH {O.BOOK_SQL} SELECT sym, count(*) AS n, round(median((ask - bid) / mid * 10000), 6) AS spread_bps, min(event_us) AS first_us FROM q WHERE recv_us >= {MID} GROUP BY 1")
 def c5(spark, sf):
     q = sinks.retained(M.quotes(spark, sf), "recv_us", MID, 0)
-    return q.groupBy("sym").agg(F.count("*").alias("n"), F.median((F.col("ask") - F.col("bid")) / F.col("mid") * 10000).alias("spread_bps"), F.min("event_us").alias("first_us"))
+    q = q.withColumn("spread", (F.col("ask") - F.col("bid")) / F.col("mid") * 10000)
+    return q.groupBy("sym").agg(F.count("*").alias("n"), F.min("event_us").alias("first_us")).join(relational.medians(q, ["sym"], "spread", "spread_bps"), "sym")
 
 
 @query("snk6_retention", f"WITH {O.BOOK_SQL} SELECT seq FROM q WHERE recv_us >= {END} - {24 * HOUR}")
@@ -715,20 +737,59 @@ def src5(spark, sf):
 
 
 def deltas(spark, sf):
+    """Events as depth updates, some with holes, some seen before; every 23rd is a snapshot."""
     e = spark.read.parquet(f"{sf}/events.parquet")
-    first = F.col("event_id") + F.when(F.col("event_id") % 13 == 0, 3).when(F.col("event_id") % 17 == 0, -4).otherwise(0)
-    return e.select(F.col("event_type").alias("sym"), F.lit(0).cast("long").alias("recv_us"), F.col("event_id").alias("seq"), first.alias("first_u"), (F.col("event_id") + F.when(F.col("event_id") % 17 == 0, -2).otherwise(5)).alias("last_u"), (F.col("event_id") - F.when(F.col("event_id") % 19 == 0, 40).otherwise(0)).alias("prev_u"))
-
-
-_DELTAS = "dl AS (SELECT event_type AS sym, event_id AS seq, event_id + CASE WHEN event_id % 13 = 0 THEN 3 WHEN event_id % 17 = 0 THEN -4 ELSE 0 END AS first_u, event_id + CASE WHEN event_id % 17 = 0 THEN -2 ELSE 5 END AS last_u, event_id - CASE WHEN event_id % 19 = 0 THEN 40 ELSE 0 END AS prev_u FROM events), ds AS (SELECT *, max(last_u) OVER (PARTITION BY sym ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM dl)"
+    i = F.col("event_id")
+    first = i + F.when(i % 13 == 0, 3).when(i % 17 == 0, -4).otherwise(0)
+    last = i + F.when(i % 23 == 0, 2).when(i % 17 == 0, -2).otherwise(25)
+    return e.select(F.col("event_type").alias("sym"), F.lit(0).cast("long").alias("recv_us"), i.alias("seq"), F.when(i % 23 == 0, "snapshot").otherwise("delta").alias("kind"), first.alias("first_u"), last.alias("last_u"), F.when(i % 7 != 0, F.lag(last).over(Window.partitionBy("event_type").orderBy("event_id")) - F.when(i % 19 == 0, 40).otherwise(0)).alias("prev_u"))
+
+
+def _followed_sql(perp: bool) -> str:
+    """The rules as a recursion: state (last, bridged, waiting updates); waiting ones are reduced when a snapshot comes."""
+
+    def rule(last: str, bridged: str, e: str) -> str:
+        steady = f"CASE WHEN {e}.l < {last} THEN 'stale' WHEN {e}.f > {last} + 1 THEN 'gap' ELSE 'ok' END"
+        if not perp:
+            return steady
+        named = f"CASE WHEN {e}.l <= {last} THEN 'stale' WHEN {e}.p IS NOT NULL AND {e}.p <> -1 AND {e}.p <> {last} THEN 'gap' ELSE 'ok' END"
+        bridge = f"CASE WHEN {e}.l < {last} + 1 THEN 'stale' WHEN {e}.f <= {last} + 1 THEN 'ok' ELSE 'gap' END"
+        return f"CASE WHEN {bridged} THEN {named} ELSE {bridge} END"
+
+    none = "CAST([] AS STRUCT(f BIGINT, l BIGINT, p BIGINT)[])"
+    event = "{'f': r.f, 'l': r.l, 'p': r.p}"
+    seen = rule("a.last", "a.bridged", "x")
+    outcome = seen.replace("x.", "y.held[1].")
+    reduced = f"list_reduce(list_transform(list_filter(s.held, lambda h: h.l > r.l), lambda h: {{'last': CAST(NULL AS BIGINT), 'bridged': false, 'bad': false, 'held': [h]}}), lambda a, y: CASE WHEN a.bad THEN a WHEN {outcome} = 'ok' THEN {{'last': y.held[1].l, 'bridged': true, 'bad': false, 'held': {none}}} WHEN {outcome} = 'gap' THEN {{'last': CAST(NULL AS BIGINT), 'bridged': false, 'bad': true, 'held': y.held}} ELSE a END, {{'last': r.l, 'bridged': false, 'bad': false, 'held': {none}}})"
+    return f"""
+WITH RECURSIVE src AS (
+  SELECT event_type AS sym, event_id AS seq, event_id % 23 = 0 AS snap, event_id + CASE WHEN event_id % 13 = 0 THEN 3 WHEN event_id % 17 = 0 THEN -4 ELSE 0 END AS f,
+    event_id + CASE WHEN event_id % 23 = 0 THEN 2 WHEN event_id % 17 = 0 THEN -2 ELSE 25 END AS l FROM events
+), nr AS (
+  SELECT *, CASE WHEN seq % 7 <> 0 THEN lag(l) OVER w - CASE WHEN seq % 19 = 0 THEN 40 ELSE 0 END END AS p, row_number() OVER w AS no FROM src WINDOW w AS (PARTITION BY sym ORDER BY seq)
+), fold AS (
+  SELECT sym, CAST(0 AS BIGINT) AS no, CAST(0 AS BIGINT) AS seq, CAST(NULL AS BIGINT) AS last, false AS bridged, {none} AS held, '' AS state FROM (SELECT DISTINCT sym FROM nr)
+  UNION ALL
+  SELECT sym, no, seq,
+    CASE WHEN state = 'ok' THEN l WHEN state = 'gap' THEN NULL WHEN state = 'synced' THEN acc.last ELSE last END,
+    CASE WHEN state = 'ok' THEN true WHEN state = 'gap' THEN false WHEN state = 'synced' THEN acc.bridged ELSE bridged END,
+    CASE WHEN state = 'gap' THEN CASE WHEN snap THEN acc.held ELSE [e] END WHEN state = 'waiting' THEN list_append(held, e) WHEN state IN ('synced', 'ok') THEN {none} ELSE held END,
+    state
+  FROM (
+    SELECT *, CASE WHEN NOT snap THEN CASE WHEN last IS NULL THEN 'waiting' ELSE {rule('last', 'bridged', 'e')} END
+      WHEN last IS NOT NULL THEN 'unused' WHEN len(held) = 0 OR l < held[1].f THEN 'early' WHEN acc.bad THEN 'gap' ELSE 'synced' END AS state
+    FROM (SELECT r.sym, r.no, r.seq, r.snap, r.l, {event} AS e, s.last, s.bridged, s.held, {reduced} AS acc FROM fold s JOIN nr r ON r.sym = s.sym AND r.no = s.no + 1)
+  )
+)
+SELECT seq, state FROM fold WHERE no > 0"""
 
 
-@query("str8_spot_gaps", f"WITH {_DELTAS} SELECT seq, CASE WHEN seen IS NULL THEN 'ok' WHEN last_u < seen THEN 'stale' WHEN first_u > seen + 1 THEN 'gap' ELSE 'ok' END AS state FROM ds")
+@query("str8_spot_gaps", _followed_sql(False))
 def str8(spark, sf):
     return venues.spot_gaps(deltas(spark, sf), ["sym"]).select("seq", "state")
 
 
-@query("str9_perp_gaps", f"WITH {_DELTAS} SELECT seq, CASE WHEN seen IS NULL THEN 'ok' WHEN last_u <= seen THEN 'stale' WHEN prev_u <> seen AND NOT (first_u <= seen + 1 AND last_u >= seen + 1) THEN 'gap' ELSE 'ok' END AS state FROM ds")
+@query("str9_perp_gaps", _followed_sql(True))
 def str9(spark, sf):
     return venues.perp_gaps(deltas(spark, sf), ["sym"]).select("seq", "state")
 
@@ -743,14 +804,44 @@ def str7(spark, sf):
     return venues.best_quotes(rows).select("sym", "seq", "bid", "bidsz", "ask", "asksz")
 
 
-@query("str11_trade_side", f"WITH {O.TRADES_SQL} SELECT venue, CASE WHEN venue = 'V1' THEN CASE side WHEN 'B' THEN 'S' ELSE 'B' END ELSE side END AS side, count(*) AS n FROM t GROUP BY ALL")
+def messages(spark, sf):
+    """Trades as messages of the venues: V0 names the taker, V1 the maker, V2 whether the buyer made."""
+    t = M.trades(spark, sf)
+    text = lambda c: F.col(c).cast("string")
+    buy = F.when(F.col("side") == "B", "buy").otherwise("sell")
+    ms = F.floor(F.col("event_us") / 1000).cast("string")
+    taker = F.to_json(F.struct(F.struct(F.lit("trades").alias("channel"), F.col("sym").alias("instId")).alias("arg"), F.array(F.struct(F.col("sym").alias("instId"), text("seq").alias("tradeId"), text("px").alias("px"), text("qty").alias("sz"), buy.alias("side"), F.when(F.col("seq") % 11 == 0, "n/a").otherwise(ms).alias("ts"))).alias("data")))
+    iso = F.date_format(F.timestamp_micros("event_us"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    maker = F.to_json(F.struct(F.lit("match").alias("type"), F.col("sym").alias("product_id"), F.col("seq").alias("trade_id"), buy.alias("side"), text("qty").alias("size"), text("px").alias("price"), F.when(F.col("seq") % 11 != 0, iso).alias("time")))
+    flag = F.to_json(F.struct(F.lit("trade").alias("e"), F.floor(F.col("event_us") / 1000).alias("E"), F.col("sym").alias("s"), text("px").alias("p"), text("qty").alias("q"), (F.col("side") == "B").alias("m"), F.floor(F.col("event_us") / 1000).alias("T"), F.col("seq").alias("t")))
+    of = lambda venue, json: t.where(F.col("venue") == venue).select((F.col("recv_us") + 5).alias("recv_us"), json.alias("json"))
+    return of("V0", taker), of("V1", maker), of("V2", flag)
+
+
+@query("str11_trade_side", f"WITH {O.TRADES_SQL} SELECT venue, CASE WHEN venue IN ('V1', 'V2') THEN CASE side WHEN 'B' THEN 'S' ELSE 'B' END ELSE side END AS side, count(*) AS n, CAST(sum(seq) AS BIGINT) AS ids FROM t GROUP BY ALL")
 def str11(spark, sf):
-    flipped = F.when(F.col("venue") == "V1", F.when(F.col("side") == "B", "S").otherwise("B")).otherwise(F.col("side"))
-    return M.trades(spark, sf).groupBy("venue", flipped.alias("side")).agg(F.count("*").alias("n"))
+    taker, maker, flag = messages(spark, sf)
+    parsed = [venues.okx_trades(taker).withColumn("venue", F.lit("V0")), venues.coinbase_trades(maker).withColumn("venue", F.lit("V1")), venues.binance_trades(flag).withColumn("venue", F.lit("V2"))]
+    rows = parsed[0].unionByName(parsed[1]).unionByName(parsed[2])
+    return rows.groupBy("venue", "side").agg(F.count("*").alias("n"), F.sum("tid").alias("ids"))
 
 
-@query("str12_time_fallback", "SELECT event_id AS seq, coalesce(TRY_CAST(CASE WHEN event_id % 11 = 0 THEN 'n/a' ELSE CAST(epoch_us(ts) // 1000 AS VARCHAR) END AS BIGINT) * 1000, epoch_us(ts) + 5) AS exch_us FROM events")
+@query("str12_time_fallback", f"WITH {O.TRADES_SQL} SELECT seq, CASE WHEN seq % 11 = 0 AND venue <> 'V2' THEN recv_us + 5 ELSE event_us END AS exch_us FROM t")
 def str12(spark, sf):
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    text = F.when(F.col("event_id") % 11 == 0, "n/a").otherwise(F.floor(us / 1000).cast("string"))
-    return spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_id").alias("seq"), F.coalesce(text.try_cast("long") * 1000, us + 5).alias("exch_us"))
+    taker, maker, flag = messages(spark, sf)
+    rows = venues.okx_trades(taker).unionByName(venues.coinbase_trades(maker)).unionByName(venues.binance_trades(flag))
+    return rows.select(F.col("tid").alias("seq"), "exch_us")
+
+
+@query("f_array", f"WITH {O.BOOK_SQL}, x AS (SELECT seq, list_sort([bid, mid, ask, 50.0, 100.0]) AS v FROM q) SELECT seq, CAST(len(list_filter(v, lambda y: y <= 75)) AS INTEGER) AS below, round(v[1], 6) AS least, round(list_concat(v, [1.5])[6], 6) AS last FROM x")
+def f_array(spark, sf):
+    v = F.array_sort(F.array("bid", "mid", "ask", F.lit(50.0), F.lit(100.0)))
+    q = M.quotes(spark, sf).select("seq", v.alias("v"))
+    return q.select("seq", F.size(F.filter("v", lambda y: y <= 75)).alias("below"), F.element_at("v", 1).alias("least"), F.element_at(F.concat("v", F.array(F.lit(1.5))), 6).alias("last"))
+
+
+@query("f_time_texts", "SELECT event_id AS seq, epoch_us(ts) // 1000 * 1000 AS from_ms, epoch_us(ts) AS from_iso FROM events")
+def f_time_texts(spark, sf):
+    ts = F.col("ts").cast("timestamp")
+    e = spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_id").alias("seq"), F.unix_millis(ts).cast("string").alias("ms"), F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("iso"))
+    return e.select("seq", venues.micros_from_ms(F.col("ms")).alias("from_ms"), venues.micros_from_iso(F.col("iso")).alias("from_iso"))

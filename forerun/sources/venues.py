@@ -129,31 +129,93 @@ def best_quotes(levels: DataFrame) -> DataFrame:
     return K.fold(levels, ["sym"], ["recv_us", "seq"], ["kind", "exch_us", "levels"], lambda sym: _book(), {"exch_us": "long", "bid": "double", "bidsz": "double", "ask": "double", "asksz": "double"})
 
 
-def changed(quotes: DataFrame, keys: list[str], time: str, seq: str, cols: list[str]) -> DataFrame:
-    """Rows whose values differ from the row before of the key, null-safely; the first always stays."""
+def changed(quotes: DataFrame, keys: list[str], time: str, seq: str, cols: list[str], reset: Column | None = None) -> DataFrame:
+    """Rows whose values differ from the row before of the key, null-safely; the first always stays.
+
+    So does the first after a reconnect, which ``reset`` marks.
+    """
     w = Window.partitionBy(*keys).orderBy(time, seq)
     now = F.struct(*cols)
-    return quotes.withColumn("_before", F.lag(now).over(w)).where(~F.col("_before").eqNullSafe(now)).drop("_before")
+    again = F.lit(False) if reset is None else F.coalesce(reset, F.lit(False))
+    return quotes.withColumn("_before", F.lag(now).over(w)).withColumn("_reset", again).where(F.col("_reset") | ~F.col("_before").eqNullSafe(now)).drop("_before", "_reset")
+
+
+def _sequence(perp: bool):
+    """Whether a book follows its depth updates: they wait for a snapshot, a gap drops the book and waits for the next.
+
+    A snapshot is taken while updates wait, unless it is older than the first of them; the waiting ones are then applied.
+    A perpetual's first update after a snapshot must bridge it, later ones must name their predecessor; a spot update
+    must begin no later than after the last one.
+    """
+    last, bridged, waiting = None, False, []
+
+    def apply(first, end, before) -> str:
+        nonlocal last, bridged, waiting
+        if perp and not bridged:
+            state = "stale" if end < last + 1 else "ok" if first <= last + 1 else "gap"
+            bridged = state == "ok"
+        elif perp:
+            state = "stale" if end <= last else "gap" if before is not None and before != -1 and before != last else "ok"
+        else:
+            state = "stale" if end < last else "gap" if first > last + 1 else "ok"
+        if state == "ok":
+            last = end
+        if state == "gap":
+            last, bridged, waiting = None, False, [(first, end, before)]
+        return state
+
+    def step(kind, first, end, before):
+        nonlocal last, waiting
+        if kind != "snapshot":
+            if last is not None:
+                return (apply(first, end, before),)
+            waiting.append((first, end, before))
+            return ("waiting",)
+        if last is not None:
+            return ("unused",)
+        if not waiting or end < waiting[0][0]:
+            return ("early",)
+        held, waiting, last = [w for w in waiting if w[1] > end], [], end
+        for event in held:
+            if apply(*event) == "gap":
+                return ("gap",)
+        return ("synced",)
+
+    return step
+
+
+def _followed(rows: DataFrame, keys: list[str], perp: bool) -> DataFrame:
+    as_int = lambda step: lambda kind, *n: step(kind, *[None if x is None or x != x else int(x) for x in n])
+    dense = rows.select(*keys, "recv_us", "seq", "kind", "first_u", "last_u", "prev_u")
+    return K.fold(dense, keys, ["recv_us", "seq"], ["kind", "first_u", "last_u", "prev_u"], lambda *key: as_int(_sequence(perp)), {"state": "string"})
+
+
+def spot_gaps(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, recv_us, seq, state) of depth updates (kind ``delta``, first_u, last_u) and snapshots (last_u).
+
+    Updates are ``waiting`` for a snapshot, ``ok``, ``stale`` (wholly seen) or a ``gap``; snapshots are ``synced``,
+    ``early`` (nothing waits, or something earlier than it), ``unused``, or a ``gap`` if the waiting updates have one.
+    """
+    return _followed(rows.withColumn("prev_u", F.lit(None).cast("long")), keys, False)
 
 
-def spot_gaps(deltas: DataFrame, keys: list[str]) -> DataFrame:
-    """Depth updates (first_u, last_u) with ``state``: stale (wholly seen), gap (updates are missing before it) or ok."""
-    w = Window.partitionBy(*keys).orderBy("recv_us", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.max("last_u").over(w)
-    state = F.when(F.col("_seen").isNull(), "ok").when(F.col("last_u") < F.col("_seen"), "stale").when(F.col("first_u") > F.col("_seen") + 1, "gap").otherwise("ok")
-    return deltas.withColumn("_seen", seen).withColumn("state", state).drop("_seen")
+def perp_gaps(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """As ``spot_gaps`` for updates that name their predecessor (prev_u; null or -1: not named)."""
+    return _followed(rows, keys, True)
 
 
-def perp_gaps(deltas: DataFrame, keys: list[str]) -> DataFrame:
-    """As ``spot_gaps`` where updates name their predecessor; one that bridges the last seen is exempt."""
-    w = Window.partitionBy(*keys).orderBy("recv_us", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    bridge = (F.col("first_u") <= F.col("_seen") + 1) & (F.col("last_u") >= F.col("_seen") + 1)
-    state = F.when(F.col("_seen").isNull(), "ok").when(F.col("last_u") <= F.col("_seen"), "stale").when((F.col("prev_u") != F.col("_seen")) & ~bridge, "gap").otherwise("ok")
-    return deltas.withColumn("_seen", F.max("last_u").over(w)).withColumn("state", state).drop("_seen")
+def clock_offsets(quotes: DataFrame, offsets: DataFrame, keys: list[str], stale: int = 60_000_000) -> DataFrame:
+    """``quotes`` with the last ``median`` of ``offsets`` (keys, recv_us, median) no older than ``stale``, else null."""
+    q = quotes.withColumn("_row", F.struct(*quotes.columns)).select(*keys, "recv_us", F.lit(1).alias("_kind"), "_row", F.lit(None).cast("struct<at:long,median:long>").alias("_o"))
+    o = offsets.select(*keys, "recv_us", F.lit(0).alias("_kind"), F.lit(None).cast(q.schema["_row"].dataType).alias("_row"), F.struct(F.col("recv_us").alias("at"), F.col("median").cast("long").alias("median")).alias("_o"))
+    w = Window.partitionBy(*keys).orderBy("recv_us", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    both = o.unionByName(q).withColumn("_last", F.last("_o", ignorenulls=True).over(w)).where("_kind = 1")
+    fresh = F.when(F.col("recv_us") - F.col("_last.at") <= stale, F.col("_last.median"))
+    return both.select("_row.*", fresh.alias("offset_us"))
 
 
 def rolling_median(samples: DataFrame, keys: list[str], time: str, seq: str, value: str, rows: int = 200, least: int = 20) -> DataFrame:
-    """Truncated median of the last ``rows`` values, null before there are ``least``."""
+    """Truncated median of the last ``rows`` values, null before there are ``least``. ``clock_offsets`` lets it go stale."""
     w = Window.partitionBy(*keys).orderBy(time, seq).rowsBetween(-(rows - 1), 0)
     s = samples.withColumn("_v", F.array_sort(F.collect_list(value).over(w))).withColumn("_n", F.size("_v"))
     mid = (F.element_at("_v", F.floor((F.col("_n") + 1) / 2).cast("int")) + F.element_at("_v", (F.floor(F.col("_n") / 2) + 1).cast("int"))) / 2

@@ -165,9 +165,161 @@ def test_status_rule():
     assert [monitor.status(*a) for a in ((False, 1, []), (True, None, []), (True, 400_000, []), (True, 1, ["x"] * 11), (True, 1, ["stale"] * 20), (True, 60_000, []))] == ["DISCONNECTED", "WARMING", "DEGRADED", "DEGRADED", "HEALTHY", "WARMING"]
 
 
-def test_calibration():
+def naive_solve(rate, target, floor):
+    if rate(floor) <= target:
+        return floor
+    lo, hi = floor, 2 * floor
+    while target <= rate(hi) and hi < 1e6:
+        hi *= 2
+    for _ in range(16):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if target <= rate(mid) else (lo, mid)
+    return (lo + hi) / 2
+
+
+def test_solver_takes_the_steps_of_a_bisection():
     assert recal.solve(lambda b: 100 / b, 24, 10) == 10
-    assert recal.solve(lambda b: 1000 / b, 24, 10) == pytest.approx(1000 / 24, rel=1e-3)
+    for rate in (lambda b: 1000 / b, lambda b: int(5000 / b), lambda b: max(0, 30 - b), lambda b: 24 + (b < 77), lambda b: 25):
+        assert recal.solve(rate, 24, 3.7) == naive_solve(rate, 24, 3.7)
+    assert recal.solve(lambda b: 0, 24, 0.0) > 0
+
+
+def test_calibration_equals_a_naive_one(spark):
+    rng, rows = random.Random(6), []
+    for sym, step in (("BTC", 0.0004), ("ETH", 0.002), ("SOL", 0.0)):
+        t, mid = 0, 100.0
+        for i in range(1500):
+            t += rng.choice([1000, 1_000_000, 30_000_000])
+            mid *= math.exp(rng.gauss(0, step))
+            rows.append(quote(len(rows), t, "A", mid, recv=t + rng.randint(0, 2_000_000), sym=sym))
+    cfg = Config(move_window=20_000_000, recal_rate=40.0)
+    got = {r["root"]: r for r in recal.calibrate(spark.createDataFrame(rows, QUOTE).repartition(5), cfg).collect()}
+    for sym in ("BTC", "ETH", "SOL"):
+        mine = sorted((r for r in rows if r[3] == sym), key=lambda r: (r[2], r[0]))
+        steps = [math.log(b[8] / a[8]) for a, b in zip(mine, mine[1:])]
+        mean = sum(steps) / len(steps)
+        spreads = sorted((r[7] - r[6]) / r[8] * 1e4 for r in mine)
+        unit = max((spreads[749] + spreads[750]) / 2, 1e4 * math.sqrt(sum((x - mean) ** 2 for x in steps) / len(steps)))
+        hours = (mine[-1][1] - mine[0][1]) / 3.6e9  # by the event clock
+
+        def rate(b, mine=mine, hours=hours):
+            step = K.winreset(b / 1e4, cfg.move_window, "log")
+            return sum(step(r[1], r[8]) is not None for r in mine) / hours
+
+        want = naive_solve(rate, 40.0, unit)
+        r = got[sym]
+        assert r["unit"] == pytest.approx(unit) and r["span_hours"] == pytest.approx(hours) and r["n"] == 1500
+        assert r["bps"] == pytest.approx(want, rel=1e-9) and r["rate"] == pytest.approx(rate(r["bps"])) and r["floored"] == (want <= unit)
+    assert got["SOL"]["floored"] and not got["ETH"]["floored"]
+
+
+def test_recalibration_run_and_schedule(spark):
+    rng, rows, mid = random.Random(7), [], 100.0
+    for i in range(600):
+        mid *= math.exp(rng.gauss(0, 0.001))
+        rows += [quote(2 * i, i * 20_000_000, "A", mid, sym="XBT"), quote(2 * i + 1, i * 20_000_000, "B", mid, sym="XBT")]
+    rows.append((9999, 1, 1, "XBT", "A", "SPOT", 5.0, 4.0, 4.5))  # crossed
+    cfg = Config(symbols={"XBT": "BTC"}, recal_min_ticks=100, recal_rate=10.0, move_window=60_000_000)
+    book, current = spark.createDataFrame(rows, QUOTE), spark.createDataFrame([("BTC", 3.0), ("ETH", 5.0)], "root string, bps double")
+    applied = []
+    dry = {r["root"]: r for r in recal.run(book, current, cfg, "A").collect()}
+    assert dry["BTC"]["status"].startswith("OK") and dry["ETH"]["status"] == "SKIP_NODATA" and 500 < dry["BTC"]["n"] <= 600
+    again = {r["root"]: r for r in recal.run(book, current, cfg, "A", apply=lambda t: applied.append({r["root"]: r["bps"] for r in t.collect()})).collect()}
+    assert again == dry and applied == [{"BTC": round(dry["BTC"]["new_bps"], 3), "ETH": 5.0}]
+    recal.run(book, current, cfg.with_(recal_min_ticks=10_000), "A", apply=applied.append)
+    assert len(applied) == 1  # nothing passed, nothing applied
+    now, ran = [0.0], []
+    schedule = recal.Schedule(60, lambda: now[0])
+    for t in (0, 30, 59, 61, 100, 121, 122):
+        now[0] = t
+        schedule.poll(lambda: ran.append(now[0]))
+    assert ran == [0, 61, 121] and schedule.runs == 3
+    now[0] = 500
+    assert schedule.poll(lambda: 1 / 0) is None and schedule.next == 560
+
+
+def test_pieces_of_a_silent_leg_fold_as_one(spark):
+    rng, rows, t, v = random.Random(8), [], 0, 100.0
+    for i in range(2000):
+        t += rng.choice([10, 10, 40, 500, 2000])
+        v *= math.exp(rng.gauss(0, 0.01))
+        rows.append((i, t + rng.randint(-60, 60), t, rng.choice("XY"), "A", "SPOT", v, v, v))
+    df = spark.createDataFrame(rows, QUOTE)
+    for mode, make in (("winreset", lambda: K.winreset(0.03, 300)), ("cumstale", lambda: K.cumstale(0.03, 300))):
+        cfg = Config(mode=mode, threshold_by_sym={}, threshold_bps=300.0, move_window=300)
+        got = sorted(r["seq"] for r in detect.quote_moves(df, cfg).collect())
+        want = []
+        for sym in "XY":
+            step = make()
+            want += [r[0] for r in sorted(rows, key=lambda r: (r[2], r[0])) if r[3] == sym and step(r[1], r[8]) is not None]
+        assert got == sorted(want) and len(got) > 30
+    pair = ("X", "A", "SPOT", "B", "SPOT", "up")
+    times = sorted(rng.randrange(100_000) for _ in range(800))
+    step = K.cooldown(300)
+    want = [x for x in times if step(x) is not None]
+    m = spark.createDataFrame([(*pair, x, 1.5) for x in times], "sym string, lead_venue string, lead_inst string, follow_venue string, follow_inst string, direction string, ts long, lag_ms double")
+    assert sorted(r["ts"] for r in match.cooled(m, 300).collect()) == want
+
+
+def test_placed_and_medians(spark):
+    rng = random.Random(10)
+    rows = [(rng.choice("ab"), rng.randrange(50), i) for i in range(700)] + [("c", None, 700), ("c", 4, 701)]
+    df = spark.createDataFrame(rows, "k string, v long, seq long")
+    got = relational.placed(df.where("v IS NOT NULL"), "v", ["v", "seq"]).orderBy("place").collect()
+    assert [r["place"] for r in got] == list(range(1, len(got) + 1)) and [(r["v"], r["seq"]) for r in got] == sorted((v, s) for _, v, s in rows if v is not None)
+    found = {r["k"]: r["m"] for r in relational.medians(df, ["k"], "v", "m").collect()}
+    for k in "abc":
+        mine = sorted(v for x, v, _ in rows if x == k and v is not None)
+        assert found[k] == (mine[(len(mine) - 1) // 2] + mine[len(mine) // 2]) / 2
+
+
+def test_dead_band_keeps_or_drops_a_lead(spark):
+    """Two legs whose delays swing over 200 ms: the fixed band keeps a lead of 220 ms, the measured one drops it."""
+    rows = [(i, 1_000_000 + 1000 * i, 1_000_000 + 1000 * i + floor + 1000 * (i % 201), "BTC", venue, "SPOT", 99.99, 100.01, 100.0) for k, (venue, floor) in enumerate((("A", 130_000), ("B", 60_000))) for i in range(402)]
+    samples = spark.createDataFrame(rows, QUOTE).withColumn("diff_us", F.col("recv_us") - F.col("event_us"))
+    stats = monitor.skew_stats(samples, Config())
+    assert {r["jitter_us"] for r in stats.collect()} == {180_000}
+    band = {mode: monitor.dead_band(stats, Config(dead_band_mode=mode)).first() for mode in ("fixed", "auto")}
+    assert band["auto"]["measured_us"] == 254_558 == band["auto"]["dead_band_us"] and band["fixed"]["dead_band_us"] == 100_000
+    moves = spark.createDataFrame([("BTC", "A", "SPOT", 5_000_000, 5_000_000, 1, 100.1, 10.0, "up"), ("BTC", "B", "SPOT", 5_220_000, 5_220_000, 2, 100.1, 10.0, "up")], MOVE)
+    assert [match.events(moves, Config(dead_band=band[m]["dead_band_us"])).count() for m in ("fixed", "auto")] == [1, 0]
+    none = monitor.dead_band(monitor.skew_stats(samples.limit(5), Config()), Config(dead_band_mode="auto")).first()
+    assert none["measured_us"] == none["dead_band_us"] == 100_000  # the floor stands for what was not measured
+
+
+def test_scores_of_unequal_rates_are_not_biased(spark):
+    """Independent walks score near 0 even at 5:1 rates; thirty injected leads score well above."""
+    seeds, rows = 8, []
+    for seed in range(seeds):
+        for case, gap, leads in (("even", 200, 0), ("uneven", 1000, 0), ("lead", 1000, 30)):
+            rng = random.Random(f"{seed} {case}")
+            sym = f"{case}{seed}"
+            for venue, every in (("A", 200), ("B", gap)):
+                for t in range(0, 60_000, every):
+                    at = 1000 * (t + rng.randrange(every))
+                    rows.append((sym, venue, "SPOT", at, at, len(rows), 1.0, 5.0, rng.choice(["up", "down"])))
+            for i in range(leads):
+                at, way = 1000 * (2000 * i + 137), rng.choice(["up", "down"])
+                rows += [(sym, "A", "SPOT", at, at, len(rows), 1.0, 5.0, way), (sym, "B", "SPOT", at + 200_000, at + 200_000, len(rows) + 1, 1.0, 5.0, way)]
+    found = score.leg_scores(pairs.pair_matrix(spark.createDataFrame(rows, MOVE), Config(), None, None), 1.959964).where("venue = 'A'").collect()
+    mean = {case: sum(r["score"] for r in found if r["sym"].rstrip("0123456789") == case) / seeds for case in ("even", "uneven", "lead")}
+    assert abs(mean["even"]) < 0.08 and abs(mean["uneven"]) < 0.08 and mean["lead"] > max(0.1, mean["uneven"] + 0.05)
+    assert sorted(r["p_value"] for r in found if r["sym"].startswith("lead"))[seeds // 2] < 0.05
+
+
+def test_invalid_and_fallback_health(spark):
+    at = lambda i: 1_000_000 * i
+    rows = [(i, at(i), at(i), "BTC", "A", "SPOT", i >= 10) for i in range(60)] + [(100 + i, at(i), at(i), "BTC", "B", "SPOT", True) for i in range(60)]
+    df = spark.createDataFrame(rows, "seq long, event_us long, recv_us long, sym string, venue string, inst string, valid boolean")
+    samples = df.where("valid").withColumn("diff_us", F.when(F.col("venue") == "B", 50_000).otherwise(0).cast("long"))
+    h = monitor.feed_health(df, samples, Config(), at(60))
+    got = {r["venue"]: r for r in h.collect()}
+    assert got["A"]["invalid_share"] == pytest.approx(1 / 6) and got["A"]["n_rejected"] == 10 and got["B"]["invalid_share"] == 0 and df.where("valid").count() == 110
+    assert got["A"]["fallback_share"] == 1.0 and got["A"]["one_way_floor_ms"] is None and got["B"]["one_way_floor_ms"] == 50.0
+    found = sorted(map(tuple, monitor.health_conditions(h, Config()).collect()), key=str)
+    assert found == [("BTC", "A", "SPOT", "invalid"), (None, "A", "SPOT", "clockfallback")]
+    later = {r["alert_type"] for r in monitor.health_conditions(monitor.feed_health(df, samples, Config(quiet=at(500)), at(130)), Config(quiet=at(500))).collect()}
+    assert "invalid" not in later  # no ticks in the window, no share
 
 
 def test_gate_and_merge(spark):

@@ -1,11 +1,14 @@
 """Venue parsers, book maintenance, sinks and streams."""
 
 import json
+import os
+
+import pytest
 
 from pyspark.sql import functions as F
 
-from forerun.config import Config
-from forerun.operators import detect
+from forerun.config import HOUR, Config
+from forerun.operators import detect, monitor, score
 from forerun.schema import LEG, QUOTE
 from forerun.sources import sinks, venues
 from forerun.streaming import live, watch
@@ -70,30 +73,127 @@ def quotes(spark, n=400):
     return spark.createDataFrame(rows, QUOTE)
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    cfg = Config(mode="winreset", move_window=5000)
-    q = quotes(spark)
-    for k in range(4):  # four files, four micro-batches
-        q.where((F.col("seq") >= 100 * k) & (F.col("seq") < 100 * (k + 1))).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(QUOTE).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    run = live.stream_moves(stream, cfg).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).outputMode("append").trigger(availableNow=True).start()
+def files(spark, frame, path, parts, per):
+    for k in range(parts):  # a file, and so a micro-batch, each
+        frame.where((F.col("seq") >= per * k) & (F.col("seq") < per * (k + 1))).coalesce(1).write.mode("append").parquet(path)
+
+
+def streamed(spark, frame, path, schema, detector, tmp, name="out"):
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    run = detector(stream).writeStream.format("parquet").option("path", f"{tmp}/{name}").option("checkpointLocation", f"{tmp}/{name}-ck").outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
     assert run.exception() is None
+    return spark.read.parquet(f"{tmp}/{name}")
+
+
+@pytest.mark.parametrize("mode", ["tickwise", "cumstale", "winreset"])
+def test_stream_equals_batch(spark, tmp_path, mode):
+    cfg = Config(mode=mode, move_window=5000, threshold_by_sym={}, threshold_bps=30.0)
+    q = quotes(spark)
+    files(spark, q, str(tmp_path / "in"), 3, 134)
     cols = [*LEG, "seq", "direction"]
-    got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).select(cols).collect()))
+    got = sorted(map(tuple, streamed(spark, q, str(tmp_path / "in"), QUOTE, lambda s: live.stream_moves(s, cfg), tmp_path).select(cols).collect()))
     want = sorted(map(tuple, detect.quote_moves(q, cfg).select(cols).collect()))
     assert got == want and got
 
 
-def test_foreach_batch_scores(spark, tmp_path):
-    cfg = Config(threshold_by_sym={}, follow_window=5000, dead_band=0)
+def test_trade_streams_equal_batch(spark, tmp_path):
+    cfg = Config(move_window=5000, trade_bps=30.0, bar_by_sym={}, bar_default=4.0)
+    t = quotes(spark, 240).select("seq", "event_us", "recv_us", *LEG, F.col("mid").alias("px"), ((F.col("seq") * 31) % 11 - 5.0).alias("signed"))
+    files(spark, t, str(tmp_path / "in"), 2, 120)
+    schema = "seq long, event_us long, recv_us long, sym string, venue string, inst string, px double, signed double"
+    bars = streamed(spark, t, str(tmp_path / "in"), schema, lambda s: live.stream_bars(s, cfg), tmp_path, "bars")
+    want = {(r["venue"], r["seq"]): "up" if r["dir"] > 0 else "down" for r in detect.imbalance_bars(t, cfg).collect()}
+    assert {(r["venue"], r["seq"]): r["direction"] for r in bars.collect()} == want and want
+    moved = streamed(spark, t, str(tmp_path / "in"), schema, lambda s: live.stream_trade_moves(s, cfg), tmp_path, "moves")
+    assert sorted(r["seq"] for r in moved.collect()) == sorted(r["seq"] for r in detect.trade_moves(t, cfg).collect()) != []
+
+
+def test_a_leg_goes_on_in_another_mode():
+    args = (0.01, 100, "log")
+    state = live.LegState()
+    for t, v in ((0, 100.0), (10, 100.5), (20, 101.2)):
+        state.tickwise(t, v, *args)
+    assert (state.base, state.base_at) == (101.2, 20)
+    assert state.cumstale(60, 102.5, *args) > 0.01 and state.cumstale(500, 110.0, *args) is None  # the base is too old
+    assert state.winreset(510, 110.2, *args) is None and state.winreset(520, 111.5, *args) > 0.01
+    assert (state.last, state.base) == (111.5, 111.5)
+
+
+def test_foreach_batch_scores_with_state_across_batches(spark, tmp_path):
+    cfg = Config(threshold_by_sym={}, follow_window=5000, dead_band=0, session_window=HOUR)
+    q = quotes(spark, 60)
+    files(spark, q, str(tmp_path / "in"), 3, 20)
     seen = {}
     step = live.on_batch(cfg, str(tmp_path / "moves"), lambda name, df: seen.__setitem__(name, df.collect()))
-    step(quotes(spark, 200), 0)
-    step(quotes(spark, 200), 0)  # a retry replaces its own epoch
-    first = {(r["venue"]): r["n_events"] for r in seen["session"]}
-    assert first and set(first) == {"A", "B"}
-    step(quotes(spark, 0), 1)
+    stream = spark.readStream.schema(QUOTE).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    run = live.stream_moves(stream, cfg).writeStream.foreachBatch(step).option("checkpointLocation", str(tmp_path / "ck")).outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    moves = detect.quote_moves(q, cfg)
+    assert spark.read.parquet(str(tmp_path / "moves")).count() == moves.count() == 58  # only a leg's first tick is no move
+    want = score.session_score(moves, cfg, 59_000).collect()
+    assert {(r["venue"], r["n_events"], r["score"]) for r in seen["session"]} == {(r["venue"], r["n_events"], r["score"]) for r in want}
+    step(moves, 2)  # a retry replaces its own epoch
+    step(moves.limit(0), 3)
+    later = moves.limit(2).withColumn("recv_us", F.col("recv_us") + 5 * HOUR)
+    step(later, 4)  # hours before the session are removed
+    assert spark.read.parquet(str(tmp_path / "moves")).count() == 2
+
+
+def test_watermark_drops_late_ticks(spark, tmp_path):
+    minute, seen = 60_000_000, set()
+    rows = [quotes(spark, 3).withColumn("recv_us", F.lit(m * minute).cast("long") + F.col("seq")) for m in (1, 10, 11, 2)]
+    for i, r in enumerate(rows):  # one file each, in the order of their times
+        r.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        for f in set((tmp_path / "in").glob("part-*")):
+            if f not in seen:
+                os.utime(f, (1_700_000_000 + 10 * i,) * 2)
+                seen.add(f)
+    got = streamed(spark, None, str(tmp_path / "in"), QUOTE, live.watermarked_counts, tmp_path)
+    assert {(r["start_us"] // minute) for r in got.collect()} <= {1, 10} and got.where(F.col("start_us") == minute).agg(F.sum("n")).first()[0] == 3
+
+
+def test_streams_start_and_stop_in_order(spark, tmp_path):
+    quotes(spark, 5).write.parquet(str(tmp_path / "in"))
+    frame = spark.readStream.schema(QUOTE).parquet(str(tmp_path / "in"))
+    counted = []
+    running = watch.start_all({"a": (frame, lambda df, e: counted.append(df.count())), "b": (frame, lambda df, e: None)}, str(tmp_path / "ck"))
+    running[0].processAllAvailable()
+    assert [q.name for q in running] == ["a", "b"] and sum(counted) == 5
+    watch.stop_all(running)
+    assert not any(q.isActive for q in running)
+    with pytest.raises(Exception):
+        watch.start_all({"c": (frame, lambda df, e: None), "d": (quotes(spark, 1), lambda df, e: None)}, str(tmp_path / "ck2"))
+    assert not spark.streams.active
+
+
+def test_sequences_by_hand(spark):
+    cols = "seq long, kind string, first_u long, last_u long, prev_u long"
+    spot = [("delta", 5, 7, None), ("snapshot", None, 3, None), ("delta", 8, 9, None), ("snapshot", None, 8, None), ("delta", 8, 9, None), ("delta", 10, 12, None), ("delta", 1, 5, None), ("delta", 15, 16, None), ("delta", 17, 18, None), ("snapshot", None, 30, None), ("delta", 31, 33, None), ("snapshot", None, 40, None)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(spot)], cols).withColumn("sym", F.lit("X")).withColumn("recv_us", F.lit(0).cast("long"))
+    assert [r["state"] for r in venues.spot_gaps(df, ["sym"]).orderBy("seq").collect()] == ["waiting", "early", "waiting", "synced", "ok", "ok", "stale", "gap", "waiting", "synced", "ok", "unused"]
+    perp = [("snapshot", None, 9, None), ("delta", 1, 5, 0), ("delta", 6, 12, 5), ("snapshot", None, 8, None), ("delta", 13, 15, 12), ("delta", 13, 14, 12), ("delta", 20, 22, 18), ("snapshot", None, 25, None), ("delta", 24, 25, 23), ("delta", 24, 30, 1), ("delta", 31, 32, None), ("delta", 40, 41, 39)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(perp)], cols).withColumn("sym", F.lit("X")).withColumn("recv_us", F.lit(0).cast("long"))
+    assert [r["state"] for r in venues.perp_gaps(df, ["sym"]).orderBy("seq").collect()] == ["early", "waiting", "waiting", "synced", "ok", "stale", "gap", "synced", "stale", "ok", "ok", "gap"]
+
+
+def test_reconnect_emits_again(spark):
+    rows = [(1, 5.0, False), (2, 5.0, False), (3, 5.0, True), (4, 5.0, False), (5, 6.0, False)]
+    df = spark.createDataFrame(rows, "seq long, bid double, fresh boolean").withColumn("sym", F.lit("X"))
+    assert [r["seq"] for r in venues.changed(df, ["sym"], "seq", "seq", ["bid"], F.col("fresh")).orderBy("seq").collect()] == [1, 3, 5]
+
+
+def test_texts_high_water_and_uptime(spark, tmp_path):
+    assert [sinks.age_text(x) for x in (None, 12.4, 1500, 90_000, 7_200_000)] == ["-", "12ms", "1.5s", "1.5m", "2.0h"]
+    assert sinks.uptime_text(3_723_000) == "1h 2m 3s" and sinks.uptime_text(None) == "-"
+    assert [sinks.count_text(n, True) for n in (None, 932, 4400, 44_000, 1_200_000)] == ["-", "932", "4,400", "44.0k", "1.2M"] and sinks.count_text(1_200_000) == "1,200,000"
+    mark = sinks.HighWater(spark, str(tmp_path / "mark"))
+    assert mark.read() is None
+    mark.write(5)
+    mark.write(7)
+    assert mark.read() == 7
+    began = spark.sparkContext.startTime
+    assert monitor.uptime_ms(spark, None, began + 1234) == 1234 and monitor.memory(spark)["executors"] >= 1
 
 
 def test_sinks_and_snapshot(spark, tmp_path):
@@ -108,6 +208,10 @@ def test_sinks_and_snapshot(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "thr")).first()["bps"] == 2.346
     scores = spark.createDataFrame([("BTC", "A", "SPOT", 0.5, 0.0), ("BTC", "B", "SPOT", None, 1.0)], "sym string, venue string, inst string, score double, p_value double")
     snap = sinks.snapshot({"alerts": alerts, "trades": None}, {"session": scores}, scores, alerts)
+    fresh = spark.createDataFrame([("BTC", "A", "SPOT", 1500.0, 100.0)], "sym string, venue string, inst string, age_ms double, mid double")
+    whole = sinks.snapshot(dict.fromkeys(sinks.COUNTED), {"score": scores, "score30": scores, "session": scores}, scores, alerts, fresh, 9_000_000, 2_000, {"executors": 1})
+    assert len(whole) - 1 + len(sinks.COUNTED) == 23 and whole["uptime_ms"] == 7000 and whole["score30"].count() == 2 and whole["session"].count() == 1
+    assert "up 0h 0m 7s" in sinks.render(whole) and "BTC A/SPOT 1.5s" in sinks.render(whole)
     text = sinks.render(snap)
     assert snap["counts"] == {"alerts": 30, "trades": None} and "BTC A/SPOT +0.500 p=0" in text and "B/SPOT" not in text
 
