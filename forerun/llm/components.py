@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -15,7 +15,6 @@ def components(edges: DataFrame) -> DataFrame:
     degree is no unbounded group. Loops and repeated edges are allowed; no edges give no rows.
     """
     e = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    before = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -24,9 +23,10 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        e = materialise(small.distinct(), "edges")
-        now = e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
-        if now == before:
+        before, e = e, materialise(small.distinct(), "edges")
+        discard(before)
+        # done when all are stars: no node has two parents, or a parent and a child
+        ends = e.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1 AND up > 0").isEmpty():
             roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
-        before = now

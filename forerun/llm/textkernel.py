@@ -5,19 +5,15 @@ from __future__ import annotations
 import numpy as np
 
 U = np.uint64
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64)
-_powers = np.ones(1, dtype=U)
-_inverses = np.ones(1, dtype=U)
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-#: Bytes of documents handled in one vectorised step; a longer document is a step of its own.
-STEP_BYTES = 1 << 21
+#: Bytes of documents handled in one vectorised step; a longer document is a step of its own. Bytes hashed at once.
+STEP_BYTES, HASH_BYTES = 1 << 20, 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -29,15 +25,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers, _inverses
-    if len(_powers) < n:
-        size = max(n, STEP_BYTES + 16)
-        for base, name in ((_BASE, "_powers"), (_INVERSE, "_inverses")):
-            grown = np.full(size, base, dtype=U)
-            grown[0] = 1
-            globals()[name] = np.cumprod(grown, dtype=U)
-    return _powers, _inverses
+def _factors(n: int) -> np.ndarray:
+    """A random odd factor for each place in a word; no power of anything, so no two words collide by their structure."""
+    return mix(np.arange(1, n + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
+
+
+_FACTORS = _factors(1 << 12)
 
 
 def steps(texts, limit: int = STEP_BYTES):
@@ -70,13 +63,26 @@ class Words:
         self.offset = np.concatenate(([0], np.searchsorted(self.start, self.doc_end)))
 
     def hashes(self) -> np.ndarray:
-        """64-bit hashes of the words, the same for equal words wherever they stand."""
-        n = len(self.low)
-        up, down = _tables(n + 1)
-        total = np.empty(n + 1, dtype=U)
-        total[0] = 0
-        np.cumsum(_BYTE[self.low] * up[:n], dtype=U, out=total[1:])
-        return mix((total[self.end] - total[self.start]) * down[self.start])
+        """64-bit hashes of the words, the same for equal words wherever they stand; a few megabytes at a time."""
+        total = np.zeros(len(self.start), dtype=U)
+        size = self.end - self.start
+        cuts = np.searchsorted(self.start, np.arange(0, len(self.low) + HASH_BYTES, HASH_BYTES))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            if a < b and int(self.end[b - 1] - self.start[a]) <= 2 * HASH_BYTES:
+                length = size[a:b]
+                ends = np.cumsum(length)
+                place = np.arange(int(ends[-1])) - np.repeat(ends - length, length)
+                value = _BYTE[self.low[place + np.repeat(self.start[a:b], length)]]
+                value *= _FACTORS[place] if int(length.max()) <= len(_FACTORS) else mix(place.astype(U) * U(0x9E3779B97F4A7C15) + U(0x9E3779B97F4A7C15)) | U(1)
+                total[a:b] = np.add.reduceat(value, ends - length)
+            else:  # the last word begun here is a very long one
+                for w in range(a, b):
+                    for at in range(int(self.start[w]), int(self.end[w]), HASH_BYTES):
+                        stop = min(at + HASH_BYTES, int(self.end[w]))
+                        place = np.arange(at - int(self.start[w]), stop - int(self.start[w]), dtype=U)
+                        factor = mix(place * U(0x9E3779B97F4A7C15) + U(0x9E3779B97F4A7C15)) | U(1)
+                        total[w : w + 1] += np.add.reduce(_BYTE[self.low[at:stop]] * factor)
+        return mix(total + size.astype(U))
 
 
 _STEP = [U(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]

@@ -100,6 +100,18 @@ def test_one_of_each_keeps_the_smallest(spark):
     assert ids(r["doc_id"] for r in ngram_join.one_of_each(df).collect()) == [1, 2, None]
 
 
+def test_rows_that_share_an_id_are_one_document(spark):
+    df = spark.createDataFrame([(3, "a b c d e f"), (5, "a b c d e f"), (5, "u v w x y z"), (7, "u v w x y z"), (8, "nothing like it is here"), (None, "a b c d e f")], "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["component_id"]) for r in ngram_join.join(df).collect())
+    assert got == [(0, None), (3, 3), (5, 3), (5, 3), (7, 3), (8, 8)]
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in ngram_join.one_of_each(df).collect()) == [(0, "a b c d e f"), (3, "a b c d e f"), (8, "nothing like it is here")]
+    # the survivor of an id is the first by text, then by the other columns, however the rows are dealt
+    rows = [(3, "u v w x y z", None, 9), (3, "a b c d e f", "x", 1), (3, "a b c d e f", "b", 2), (4, "k l m n o", "b", 2)]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string, rep string, slot int").repartition(3)
+        assert sorted(map(tuple, ngram_join.one_of_each(df).collect())) == [(3, "a b c d e f", "b", 2), (4, "k l m n o", "b", 2)]
+
+
 def test_components_of_a_chain(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (102, 101)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
@@ -131,6 +143,10 @@ def test_token_files(spark, documents, rows, tmp_path):
         e = np.array([*lib.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids, 2], dtype="<u4")
         assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(e), zlib.crc32(e.tobytes())) and bytes(r["ids"]) == e.tobytes()
         at += len(e)
+    symbols = sum((len(b["sequence"]) + 2 * len(b["rules"])) / 4 for b in token_files.blocks(spark, str(tmp_path / "t")).collect())
+    assert symbols < 0.8 * sum(r["n_tokens"] for r in got)
+    with pytest.raises(ValueError, match="ids from"):
+        token_files.write(documents, str(tmp_path / "refused"), path, end_id=token_files.FIRST_RULE)
     token_files.write(documents.limit(0), str(tmp_path / "none"), path)
     assert token_files.read(spark, str(tmp_path / "none")).count() == 0
 
@@ -165,15 +181,23 @@ def test_language(spark, documents, rows):
     assert all((r["lang_pred"], r["score"]) == ("und", 0) for r in got if r["doc_id"] in (9001, 9002, 9003))
 
 
-def test_lm_scores_every_document(spark, documents, rows):
-    tables, flat = lm_score.train(documents)
-    got = lm_score.score(documents, tables, flat).collect()
-    assert ids(r["doc_id"] for r in got) == ids(d for d, _ in rows)
-    want = {i: n for i, n, _ in lm_score.log_probabilities([t for _, t in rows], tables, flat)}
-    assert sum(r["n_words"] for r in got) == sum(want.values())
-    # the counts cover every word of every document
-    assert lm_score.count_words(documents).sum() == sum(want.values())
-    assert all(r["mean_log_prob"] is None if r["n_words"] == 0 else r["mean_log_prob"] < 0 for r in got)
+def test_lm_scores_every_document(spark, documents, rows, monkeypatch):
+    for known in (lm_score.KNOWN, 50):  # with few words on the workers, the others' counts come by the join
+        monkeypatch.setattr(lm_score, "KNOWN", known)
+        model, counts = lm_score.train(documents)
+        want_counts = collections.Counter(w for _, t in rows for w in lm_score.words_of([(t or "").encode()])[0].view(np.int64).tolist())
+        assert {r["word"]: r["n"] for r in counts.collect()} == want_counts and model.total == sum(want_counts.values())
+        assert len(model.known) <= known and abs(model.z_weights.sum() - 1) < 1e-6
+        got = lm_score.score(documents, model, counts).collect()
+        want = collections.Counter()
+        for (d, _), (_, n, part, rare) in zip(rows, lm_score.log_probabilities([t for _, t in rows], model)):
+            want[d, n, round(part + sum(math.log(want_counts[w]) for w in rare), 1)] += 1
+        assert collections.Counter((r["doc_id"], r["n_words"], round(r["log_likelihood"], 1)) for r in got).keys() & want.keys() and len(got) == len(rows)
+        near = sorted((str(r["doc_id"]), r["log_likelihood"]) for r in got)
+        assert all(a[0] == b[0] and a[1] == pytest.approx(b[1], abs=0.2) for a, b in zip(near, sorted((str(d), x) for (d, _, x), k in want.items() for _ in range(k))))
+        assert all(r["mean_log_prob"] is None if r["n_words"] == 0 else r["mean_log_prob"] < 0 for r in got)
+    again, _ = lm_score.train(documents.repartition(7))  # the same model, however the documents are dealt
+    assert (again.flat == model.flat).all() and (again.z_words == model.z_words).all()
     assert lm_score.score(documents.limit(0), *lm_score.train(documents.limit(0))).count() == 0
 
 
@@ -189,32 +213,60 @@ def test_decontamination(spark, documents, rows):
     assert decontaminate.search(documents.limit(0), bench).count() == 0 and decontaminate.search(documents, bench.limit(0)).count() == 0
 
 
-def naive_notice(text):
-    """(license, cosine) of the best line of a text."""
-    idf, other, _ = licenses._weights()
-    count = lambda x: collections.Counter(re.findall(licenses._TERM, x.lower()))
+def naive_cosines(terms, named):
+    """The cosine of some terms to each named text, from scratch."""
+    idf, other, _ = licenses._weights([text for _, text in named])
     norm = lambda c: math.sqrt(sum((n * idf.get(t, other)) ** 2 for t, n in c.items()))
-    best = (0, 0, None)
-    for line in (text or "").split("\n"):
-        if re.search(licenses.CUES, line, re.I):
-            a = count(line)
-            for i, (name, template) in enumerate(licenses.TEMPLATES):
-                b = count(template)
-                cosine = round(sum(a[t] * b[t] * idf[t] ** 2 for t in b) / (norm(a) * norm(b)), 9)
-                best = max(best, (cosine, -i, name)) if best[2] else (cosine, -i, name)
-    return (best[2], best[0]) if best[0] >= licenses.LEAST_COSINE else None
+    a, out = collections.Counter(terms), []
+    for _, text in named:
+        b = collections.Counter(re.findall(licenses._TERM, text.lower()))
+        out.append(round(sum(a[t] * b[t] * idf[t] ** 2 for t in b) / (norm(a) * norm(b)), 9) if a else 0)
+    return out
+
+
+def naive_notice(text):
+    """(license, cosine) of a text by every line and every window of a template's size."""
+    count = lambda x: re.findall(licenses._TERM, x.lower())
+    terms, names, found = count(text or ""), [n for n, _ in licenses.TEMPLATES], []
+    if not terms:
+        return None
+    for line in text.split("\n"):
+        c = naive_cosines(count(line), licenses.TEMPLATES)
+        found.append((max(c), -c.index(max(c))))
+    for i, (name, template) in enumerate(licenses.TEMPLATES):
+        size = min(len(count(template)), len(terms))
+        for at in range(len(terms) - size + 1):
+            if set(terms[at : at + size]) & set(count(template)):
+                c = naive_cosines(terms[at : at + size], licenses.TEMPLATES)
+                if c[i] > max(x for x, n in zip(c, names) if n != name):
+                    found.append((c[i], -i))
+    best = max(found)
+    whole = naive_cosines(terms, licenses.TEMPLATES)
+    if max(whole) >= licenses.LEAST_COSINE:
+        return names[whole.index(max(whole))], best[0]
+    return (names[-best[1]], best[0]) if best[0] >= licenses.LEAST_COSINE else None
 
 
 def test_licenses(spark, rows):
-    files = [("a/LICENSE", "Released under the MIT License."), ("a/b/c.py", "x = 1"), ("a/b/d.py", "# Licensed under the Apache License, Version 2.0.\ncode"), ("e.py", None), (None, "MIT License"), ("a/b/c.py", "x = 1"), ("ab/c.py", "y"), ("LICENSE", "All rights reserved.")]
-    files += [(f"z/{d}.txt", t) for d, t in rows if d is not None and d < 9000]
+    files = [("a/LICENSE", "Released under the MIT License."), ("a/b/c.py", "x = 1"), ("a/b/d.py", "# Licensed under the Apache License, Version 2.0.\ncode " + "of the tool and more " * 9), ("e.py", None), (None, "MIT License"), ("a/b/c.py", "x = 1"), ("ab/c.py", "y"), ("COPYING", "All rights reserved."), ("a/g/t", "GNU GENERAL PUBLIC LICENSE\n  Version 3, 29 June 2007\n" + "everyone is permitted to copy these words " * 50), ("a/g/h/i.c", "int x;")]
+    files += [(f"z/{d}.txt", t) for d, t in rows if d is not None and d < 9000 and len(t or "") < 900][:60]
     df = spark.createDataFrame(files, "path string, text string").withColumn("license", F.lit("clash"))
-    got = {r["path"]: (r["license"], r["origin"]) for r in licenses.scan(df, F.col("path").endswith("LICENSE")).collect()}
+    got = {r["path"]: (r["license"], r["origin"]) for r in licenses.scan(df).collect()}
     assert got["a/LICENSE"] == ("MIT", None) and got["a/b/c.py"] == ("MIT", "a") and got["a/b/d.py"] == ("Apache-2.0", None)
     assert got["e.py"] == ("Proprietary", "") and got["ab/c.py"] == ("Proprietary", "") and len(got) == len({p for p, _ in files if p})
-    own = {r["path"]: (r["license"], pytest.approx(r["cosine"], abs=1e-6)) for r in licenses.notices(df).where("path IS NOT NULL").collect()}
-    assert own == {p: n for p, t in files if p and (n := naive_notice(t))}
-    assert licenses.scan(df.limit(0), F.lit(True)).count() == 0
+    assert got["a/g/t"] == ("GPL-3.0", None) and got["a/g/h/i.c"] == ("GPL-3.0", "a/g")
+    own = {r["path"]: (r["license"], pytest.approx(r["cosine"], abs=1e-6)) for r in licenses.notices(df).where("path IS NOT NULL AND path <> 'a/g/t'").collect()}
+    assert own == {p: n for p, t in files if p and p != "a/g/t" and (n := naive_notice(t))}
+    marked = {r["path"]: r["license"] for r in licenses.scan(df, F.col("path").endswith("d.py")).collect()}
+    assert marked["a/b/c.py"] == "Apache-2.0"
+    assert licenses.scan(df.limit(0)).count() == 0
+
+
+def test_license_query_keeps_every_row(spark, tmp_path):
+    rows = [(-5, "MIT License released under the MIT License", "s"), (None, "All rights reserved.", "s"), (7, None, None), (7, None, None), (12, "plain words", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(((r["doc_id"], r["path"], r["license"]) for r in licenses.op8_license_scan(spark, str(tmp_path)).collect()), key=str)
+    assert got == sorted([(-5, "s/-1/-5.txt", "MIT"), (None, None, None), (7, "0/7.txt", None), (7, "0/7.txt", None), (12, "s/0/12.txt", None)], key=str)
 
 
 def test_top_k(spark):
@@ -235,6 +287,16 @@ def test_top_k(spark):
     assert topk_search.top_k(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_top_k_of_repeated_ids_and_huge_components(spark):
+    data = [(0, [1.0, 2.0]), (0, [3.0, 0.0]), (1, [1.0, 1.0]), (1, [1.0, 1.0]), (2, [1e17, 0.0]), (3, [1e300, -1e300])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    near = lambda x: max(-(1 << 63), min((1 << 63) - 1, x))
+    q = [(i, [near(math.floor(64 * x)) for x in v]) for i, v in data]
+    pairs = sorted((-near(sum(a * b for a, b in zip(v, w))), j) for i, v in q if i == 0 for j, w in q if j != 0)
+    want = [(0, r, j, -s) for r, (s, j) in enumerate(pairs, 1)]
+    assert sorted(map(tuple, topk_search.top_k(df, F.col("vec_id") == 0, 20).collect())) == want and len(want) == 8
+
+
 def test_pipeline_applies_every_stage(spark):
     docs, sf = spark.read.parquet(f"{SF}/documents.parquet"), SF
     now, first = docs, [(r["doc_id"], r["text"]) for r in docs.collect()]

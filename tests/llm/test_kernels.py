@@ -12,6 +12,7 @@ from forerun.llm import decontaminate as D
 from forerun.llm import language as L
 from forerun.llm import licenses as C
 from forerun.llm import lm_score as M
+from forerun.llm import ngram_join as N
 from forerun.llm import quality as Q
 from forerun.llm import token_files as T
 from forerun.llm import topk_search as K
@@ -44,6 +45,33 @@ def test_shingles_count_distinct_word_windows():
     assert seen
 
 
+def test_words_of_any_length_and_structure_hash_apart(monkeypatch):
+    low, high = "a", "b"
+    for _ in range(12):  # a Thue-Morse word and its complement collide under every polynomial modulo a power of two
+        low, high = low + high, high + low
+    assert len(set(Words([low.encode(), high.encode(), b"x" * 4096, b"x" * 4097]).hashes().tolist())) == 4
+    raws = [b"short " + b"y" * 9000 + b" z " + b"w " * 2000, b"", b"y" * 9000]
+    want = Words(raws).hashes().tolist()
+    monkeypatch.setattr("forerun.llm.textkernel.HASH_BYTES", 1 << 10)  # in many parts, and words longer than a part
+    assert Words(raws).hashes().tolist() == want and want[1] == want[-1]
+
+
+def test_suffix_filter_never_dismisses_a_link():
+    rng = np.random.default_rng(12)
+    for percent in (80, 85):
+        x, y, n, link = [], [], [], []
+        for _ in range(700):
+            a = np.unique(rng.integers(0, 1 << 63, int(rng.integers(1, 400)), dtype=np.uint64) * np.uint64(2))
+            keep = rng.random(len(a)) > rng.choice([0, 0.05, 0.09, 0.15, 0.5])
+            b = np.unique(np.concatenate((a[keep], rng.integers(0, 1 << 63, int((~keep).sum()) + 1, dtype=np.uint64) * np.uint64(2))))
+            both = len(np.intersect1d(a, b))
+            x.append(N.parts(a)), y.append(N.parts(b)), n.append(len(a) + len(b)), link.append(100 * both >= percent * (n[-1] - both))
+        rows = [np.frombuffer(b"".join(v), np.uint8).reshape(-1, N.PARTS) for v in (x, y)]
+        alive = set(N.suffix_filter(*rows, np.array(n), percent).tolist())
+        assert {i for i, k in enumerate(link) if k} <= alive and len(alive) < 0.8 * len(link)
+    assert not len(N.suffix_filter(np.empty((0, N.PARTS), np.uint8), np.empty((0, N.PARTS), np.uint8), np.empty(0, int), 80))
+
+
 def test_transducer_equals_library():
     tokenizers = pytest.importorskip("tokenizers")
     path = tokenizer_path("byte_bpe_50k.json")
@@ -62,10 +90,34 @@ def test_lookahead_of_a_small_merge_list():
     assert sufficient_lookahead([]) == 0
 
 
-def test_stream_window_is_bounded():
-    t = Transducer(open(tokenizer_path("byte_bpe_50k.json"), encoding="utf-8").read())
-    raw = bytes(random.Random(3).choice(b"abeinorst") for _ in range(6000))
-    assert list(t.stream(raw, t.lookahead + 64)) == t.merged([t.symbol[b] for b in raw])
+def test_the_transducer_emits_every_id_from_a_bounded_window(monkeypatch):
+    tokenizers = pytest.importorskip("tokenizers")
+    path = tokenizer_path("byte_bpe_50k.json")
+    lib, t = tokenizers.Tokenizer.from_file(path), Transducer(open(path, encoding="utf-8").read())
+    raw = "".join(random.Random(3).choice("abeinorst") for _ in range(6000))
+    want = t.merged([t.symbol[b] for b in raw.encode()])
+    held, emitted, merged, stream = [], [], t.merged, t.stream
+    t.merged = lambda ids: held.append(len(ids)) or merged(ids)
+    t.stream = lambda parts: (emitted.append(len(ids)) or ids for ids in stream(parts))
+    t.special = {}
+
+    class Forgets(dict):
+        def __setitem__(self, key, value):
+            pass
+
+    t.cache = Forgets()
+    assert list(t.encode(raw)) == want and len(emitted) > 5
+    for x in [*texts(300, 13), "word " * 900, "日本" * 400 + "e" * 1500 + " end", raw]:
+        held.clear(), emitted.clear()
+        ids = lib.encode((x or "").replace("<|", "<"), add_special_tokens=False).ids
+        assert list(t.encode((x or "").replace("<|", "<"))) == ids and sum(emitted) == len(ids)
+        assert max(held, default=0) <= t.lookahead + 2 * t.window
+    # small blocks cut a text as well as large ones
+    for chars in (1, 7, 64):
+        monkeypatch.setattr("forerun.llm.bpe_stream.BLOCK_CHARS", chars)
+        for x in texts(300, 14):
+            x = (x or "").replace("<|", "<")
+            assert list(t.encode(x)) == lib.encode(x, add_special_tokens=False).ids
 
 
 def test_chunk_encoder_equals_library():
@@ -81,6 +133,30 @@ def test_chunk_encoder_equals_library():
             at += k
 
 
+def test_chunks_that_hash_alike_keep_their_own_ids(monkeypatch):
+    tokenizers = pytest.importorskip("tokenizers")
+    path = tokenizer_path("word_bpe_49k.json")
+    lib = tokenizers.Tokenizer.from_file(path)
+    rows = [*texts(60, 15), "one two three", "a" * 17 + "x" + "b" * 17, "a" * 17 + "y" + "b" * 17, "<|ENDOFTEXT|> x"]
+    monkeypatch.setattr(T.Chunks, "hashes", lambda self: (self.end - self.start).astype(np.uint64) % np.uint64(3))
+    e = T.ChunkEncoder(open(path, encoding="utf-8").read())
+    for _ in range(2):
+        ids, n = e.encode(rows, 2)
+        parts = np.split(ids, np.cumsum(n)[:-1])
+        assert [p.tolist() for p in parts] == [[*lib.encode(x or "", add_special_tokens=False).ids, 2] for x in rows]
+
+
+def test_grammar_leaves_no_pair_twice():
+    rng = np.random.default_rng(16)
+    for ids in (rng.integers(0, 5, 3000), np.tile(rng.integers(0, 50, 40), 30), np.full(77, 4), np.array([1, 1, 1]), np.array([1, 2, 1, 2])):
+        rules, lengths, sequence = T.compress(ids.astype(np.uint32))
+        last: dict[tuple[int, int], int] = {}
+        for i, pair in enumerate(zip(sequence.tolist(), sequence.tolist()[1:])):
+            assert i - last.setdefault(pair, i) < 2, pair
+        assert len({tuple(r) for r in rules.tolist()}) == len(rules) and lengths.tolist() == [len(T.expand(rules, lengths, np.array([T.FIRST_RULE + i], np.uint32))) for i in range(len(rules))]
+    assert len(T.compress(np.array([1, 2, 1, 2], np.uint32))[2]) == 2
+
+
 def test_grammar_round_trip_and_random_access():
     rng = np.random.default_rng(5)
     for ids in (np.empty(0, np.uint32), np.array([7], np.uint32), np.full(1001, 3, np.uint32), rng.integers(0, 9, 20_000).astype(np.uint32)):
@@ -152,21 +228,44 @@ def test_decontamination_in_scripts_without_spaces():
     assert [(d, i) for d, i, *_ in D.matches(docs, D.build([0, 1, 2], items))] == [(0, 0), (1, 0), (2, 1), (3, 2)]
 
 
-def test_phrases_equal_brute_force():
+def test_phrases_equal_brute_force_across_blocks():
     rng = random.Random(8)
-    ref = "".join(rng.choice("abc") for _ in range(300))
-    automaton = L.suffix_automaton([ord(x) - 97 for x in ref], 8)
-    for _ in range(100):
-        t = "".join(rng.choice("abcd") for _ in range(rng.randint(1, 200)))
+    ref = "".join(rng.choice("abc") for _ in range(300)) + "abc" * 400
+    automaton = L.suffix_automaton([ord(x) - 97 for x in ref])
+    automaton.owner, automaton.to = np.append(automaton.owner, [-1] * 8), np.append(automaton.to, [0] * 8)
+    rows = ["".join(rng.choice("abcd") for _ in range(rng.randint(1, 900))) for _ in range(60)]
+    rows += ["abc" * 380, "ab" + "abc" * 700 + "d" + "bca" * 300, "d" * 70, "cab" * 90 + "dd"]  # phrases longer than blocks
+    want = []
+    for t in rows:
         i = n = 0
         while i < len(t):
             j = i + 1
             while j <= len(t) and t[i:j] in ref:
                 j += 1
             i, n = max(j - 1, i + 1), n + 1
-        block = np.zeros((1, 256), np.uint8)
-        block[0, : len(t)] = [ord(x) - 97 for x in t]
-        assert L.phrases(automaton, block, np.array([1] * len(t) + [0] * (256 - len(t))))[0] == n
+        want.append(n)
+    for width in (16, 64, 256):
+        blocks, length, follows, owner = [], [], [], []
+        for k, t in enumerate(rows):
+            for a in range(0, len(t), width):
+                part = [ord(x) - 97 for x in t[a : a + width]]
+                follows.append(len(blocks) - 1 if a else -1)
+                blocks.append(part + [0] * (width - len(part)))
+                length.append(len(part))
+                owner.append(k)
+        got = L.phrases(automaton, np.array(blocks, np.int32), np.array(length), np.array(follows))
+        assert np.bincount(owner, got).astype(int).tolist() == want
+
+
+def test_languages_of_large_alphabets_are_told_apart():
+    rng = random.Random(9)
+    texts = {"x": [], "y": []}
+    for name, first in (("x", 0x4E00), ("y", 0x5200)):  # words of two of a thousand signs each
+        lexicon = [chr(first + rng.randrange(1000)) + chr(first + rng.randrange(1000)) for _ in range(800)]
+        texts[name] = ["".join(rng.choice(lexicon) for _ in range(40)) for _ in range(80)]
+    model = L.fit({n: t[:60] for n, t in texts.items()})
+    assert len(model.alphabet) > 1000
+    assert L.predict(texts["x"][60:] + texts["y"][60:], model)[0] == ["x"] * 20 + ["y"] * 20
 
 
 def test_language_edges():
@@ -215,19 +314,39 @@ def test_toxicity_learns_unseen_misspellings():
     assert got[0] > 0 > got[1] and got[2] > 0 > got[3] and np.isfinite(got).all()
 
 
-def test_lm_beats_its_prior_on_patterned_text():
-    rows = ["one two three four five six seven eight " * 40] * 12
-    raws = [r.encode() for r in rows]
-    ids, _ = M.token_ids(raws)
-    tables = M.Tables(np.bincount(ids, minlength=M.VOCABULARY).astype(float))
-    start = M.initial(tables)
-    flat = start
-    for _ in range(8):
-        flat, seen = M.learn(flat, [raws], tables)
-    assert seen == len(ids)
-    before, after = (sum(r[2] for r in M.log_probabilities(rows[:2] + [None, ""], tables, f)) for f in (start, flat))
-    assert after > before + 10
-    assert [r[1] for r in M.log_probabilities([None, ""], tables, flat)] == [0, 0]
+def lm_model(rows, passes):
+    words, offset = M.words_of([(r or "").encode() for r in rows])
+    flat = M.initial()
+    for _ in range(passes):
+        flat = M.learn(flat, M.short(words), offset)
+    known, n = np.unique(words, return_counts=True)
+    return M.Model(flat, len(words), known, n, known, n / len(words))
+
+
+def test_lm_predicts_the_word_between_its_neighbours():
+    rows = ["one two three four five six seven eight " * 40] * 12 + ["one three five seven two four six eight " * 40] * 12
+    start, model = lm_model(rows, 0), lm_model(rows, 8)
+    before, after = (sum(r[2] for r in M.log_probabilities(rows, m)) for m in (start, model))
+    assert after / model.total > -1.2 > -2 > before / model.total  # eight words alike: -2.08 without a context
+    assert [r[1:3] for r in M.log_probabilities([None, ""], model)] == [(0, 0.0)] * 2
+
+
+def test_lm_equals_a_naive_softmax_over_the_whole_vocabulary():
+    rng = random.Random(21)
+    rows = [" ".join(rng.choice("abcdefghij") * rng.randint(1, 3) for _ in range(rng.randint(0, 40))) for _ in range(60)] + [None]
+    model = lm_model(rows, 2)
+    vectors, w1, b1, w2, out = M.unpack(model.flat)
+    share = dict(zip(model.known.tolist(), (model.counts / model.total).tolist()))
+    ids = {h: int(M.short(np.array([h], np.uint64))[0]) for h in share}
+    for row, (_, n, got, rare) in zip(rows, M.log_probabilities(rows, model)):
+        words, total = M.words_of([(row or "").encode()])[0].tolist(), 0.0
+        for i, w in enumerate(words):
+            around = [words[j] if 0 <= j < len(words) else None for j in (i - 2, i - 1, i + 1, i + 2)]
+            x = np.concatenate([vectors[0 if c is None else 1 + (ids[c] >> 20) % (M.ROWS - 1)] for c in around])
+            expected = np.tanh(x @ w1 + b1) @ w2
+            mass = {v: share[v] * np.exp(expected @ (out[ids[v] & 4095] + out[ids[v] >> 12 & 4095])) for v in share}
+            total += np.log(mass[w] / sum(mass.values()))
+        assert n == len(words) and got == pytest.approx(total, abs=1e-3) and len(rare) == 0
 
 
 def test_crc_fold_is_the_standard_one():
