@@ -30,8 +30,9 @@ from .textkernel import SPACE, U, Words, mix, steps
 
 #: Share of an item's words that edits may change; items of fewer words are searched by their exact parts.
 EDITS, MIN_WORDS = 0.2, 8
-#: Steps sampled in a repetition, recall wanted for items with the most edits, trials of its estimate in a class, growth of classes.
-SAMPLED, RECALL, TRIALS, CLASS_GROWTH = 3, 0.98, 400, 1.5
+#: Steps sampled in a repetition, recall wanted for items with the most edits, trials of its estimate in a class, growth
+#: of classes, repetitions at most.
+SAMPLED, RECALL, TRIALS, CLASS_GROWTH, MOST_REPETITIONS = 3, 0.98, 400, 1.5, 512
 #: Bytes of benchmark text in one broadcast index; a larger benchmark is searched block by block.
 INDEX_BYTES = 1 << 23
 
@@ -59,6 +60,7 @@ class LengthClass:
     need: int  # fewest surviving pairs over the class
     heads: np.ndarray  # sorted hashes of words that an occurrence may begin with
     repetitions: list[Repetition]
+    recall: float  # of the repetitions, on trials that had no say in their number
 
 
 @dataclass
@@ -177,22 +179,26 @@ def build(ids: list[int], texts: list[str | None]) -> Index:
             flat = np.concatenate([words[i] for i in mine])
             size = np.array([len(words[i]) for i in mine])
             begin = np.cumsum(size) - size
-            rng = np.random.default_rng(low)
-            trials = [mine[int(t)] for t in rng.integers(len(mine), size=TRIALS)]
-            changed = [_edited(words[i], edits[i], rng) for i in trials]
-            t_size = np.array([len(c) for c in changed])
-            t_begin, t_flat = np.cumsum(t_size) - t_size, np.concatenate(changed)
             place = {item: p for p, item in enumerate(mine)}
-            of = np.array([place[i] for i in trials])
-            found = np.zeros(TRIALS, dtype=bool)
+            # two sets of trials: one decides how many repetitions there are, the other measures them
+            found, trials = [], []
+            for seed in (low, -low % (1 << 32)):
+                rng = np.random.default_rng(seed)
+                drawn = [mine[int(t)] for t in rng.integers(len(mine), size=TRIALS)]
+                changed = [_edited(words[i], edits[i], rng) for i in drawn]
+                t_size = np.array([len(c) for c in changed])
+                trials.append((np.concatenate(changed), np.cumsum(t_size) - t_size, np.array([place[i] for i in drawn])))
+                found.append(np.zeros(TRIALS, dtype=bool))
             made: list[Repetition] = []
-            while found.mean() < RECALL:
+            while found[0].mean() < RECALL and len(made) < MOST_REPETITIONS:
                 rep = _repetition(1000 * low + len(made), low, np.array(mine), flat, begin)
-                found |= walk(t_flat, t_begin, rep) == walk(flat, begin, rep)[of]
+                keys = walk(flat, begin, rep)
+                for hit, (t_flat, t_begin, of) in zip(found, trials):
+                    hit |= walk(t_flat, t_begin, rep) == keys[of]
                 made.append(rep)
             need = min(len(words[i]) - 1 - 2 * edits[i] for i in mine)
             heads = np.unique(np.concatenate([words[i][: edits[i] + 1] for i in mine]))
-            classes.append(LengthClass(low, max(len(words[i]) + edits[i] for i in mine), need, heads, made))
+            classes.append(LengthClass(low, max(len(words[i]) + edits[i] for i in mine), need, heads, made, float(found[1].mean())))
         low = high
     return Index(np.array(kept, dtype=np.int64), words, pairs, coarse, classes, _parts(words))
 

@@ -206,6 +206,34 @@ def test_decontamination_finds_edited_items_and_no_others():
     assert all(d < len(docs) for d in found)
 
 
+def test_decontamination_equals_brute_force():
+    rng = random.Random(26)
+    vocabulary = [f"w{i}" for i in range(60)]
+    items = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(8, 30))) for _ in range(12)]
+    docs = []
+    for _ in range(60):
+        w = rng.choice(items).split()
+        for _ in range(rng.randint(0, int(0.3 * len(w)))):
+            i = rng.randrange(len(w))
+            w[i : i + 1] = rng.choice([["zz"], [], [w[i], "yy"]])
+        around = [rng.choice(vocabulary) for _ in range(rng.randint(0, 60))]
+        at = rng.randrange(len(around) + 1)
+        docs.append(" ".join(around[:at] + w + around[at:]))
+    index = D.build([*range(12)], items)
+    assert all(c.recall >= 0.95 for c in index.classes)
+    want = {}
+    for d, text in enumerate(docs):
+        t = text.split()
+        for i, item in enumerate(items):
+            w = item.split()
+            near = min(D.edit_distance(w, t[a : a + len(w) + int(0.2 * len(w))])[0] for a in range(len(t)))
+            if near <= int(0.2 * len(w)):
+                want[d, i] = near
+    got = {(d, i): distance for d, i, _, _, distance in D.matches(docs, index)}
+    assert got.keys() <= want.keys() and len(got) >= 0.95 * len(want) > 30
+    assert sum(got[k] == want[k] for k in got) >= 0.95 * len(got)  # the nearest place is rarely another one
+
+
 def test_decontamination_finds_every_short_item():
     rng = random.Random(8)
     items = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 7))) for _ in range(60)]
@@ -299,6 +327,60 @@ def test_boosting_learns_and_handles_edges():
     assert Q.features([None, "", "word word", "A!! B!!"]).shape == (4, len(Q.FEATURES)) and np.isfinite(Q.features([None, "a\n\na"])).all()
 
 
+def test_forest_equals_traversal_row_by_row():
+    rng = np.random.default_rng(22)
+    x = rng.normal(size=(600, len(Q.FEATURES))).round(1)  # many values equal a cut
+    model = Q.fit(x, (x[:, 2] * x[:, 5] > 0).astype(float))
+    assert len(model.feature) == Q.ROUNDS
+    for row, got in zip(x[:150], model.score(x[:150])):
+        total = model.base
+        for feature, cut, value in zip(model.feature.tolist(), model.cut.tolist(), model.value.tolist()):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + (2 if row[feature[node]] > cut[node] else 1)
+            total += value[node - len(feature)]
+        assert got == pytest.approx(1 / (1 + np.exp(-total)))
+
+
+def test_statistics_equal_naive_ones():
+    at = {name: i for i, name in enumerate(Q.FEATURES)}
+    for text, row in zip(rows := [*texts(200, 23), "One two two one two. END!\n\nsame line\nsame line\n x", "aaaaaaaaaaaaaaaaaaaa b"], Q.features(rows)):
+        raw = (text or "").encode()
+        words = [w for w in re.split(rb"[\x20\x09-\x0d]+", raw) if w]
+        low, lines = [w.lower() for w in words], [x for x in raw.split(b"\n") if x.strip()]
+        n, m = len(raw), len(words)
+        want = {"lower": sum(97 <= c < 123 for c in raw) / max(n, 1), "digit": sum(48 <= c < 58 for c in raw) / max(n, 1), "high": sum(c > 127 for c in raw) / max(n, 1), "shout": raw.count(b"!") / max(n, 1), "n_bytes": np.log1p(n), "n_words": np.log1p(m)}
+        if m:
+            size = [len(w) for w in words]
+            want |= {"mean_word": np.mean(size), "spread_word": np.std(size), "long_words": np.mean([x > 14 for x in size]), "short_words": np.mean([x < 3 for x in size]), "distinct": len(set(low)) / m, "one_word_max": max(low.count(w) for w in low) / m}
+            want |= {"adjacent": np.mean([a == b for a, b in zip(low, low[1:])]) if m > 1 else 0, "skip": np.mean([a == b for a, b in zip(low, low[2:])]) if m > 2 else 0}
+            want |= {"lines": np.log1p(len(lines)), "line_words": m / max(len(lines), 1), "repeated_lines": 1 - len(set(lines)) / max(len(lines), 1), "caps_words": np.mean([2 * sum(65 <= c < 91 for c in w) > len(w) for w in words])}
+        for name, value in want.items():
+            assert row[at[name]] == pytest.approx(value, abs=1e-9), (name, text)
+
+
+def test_toxicity_equals_naive_windows():
+    rng = np.random.default_rng(24)
+    gram = rng.normal(size=X.BUCKETS)
+    rows = [*texts(120, 25), "one two three four five six seven eight nine ten eleven twelve thirteen fourteen " * 3, "same same same other", None]
+    for text, got in zip(rows, X.logits(rows, gram, -0.25)):
+        words, scores = re.findall(rb"[^\x20\x09-\x0d.,;:!?\"()\[\]{}|]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode())), []
+        words = [w for i, w in enumerate(words) if not i or words[i - 1] != w]
+        for w in words:
+            chars = [257, *w, 258]
+            grams = []
+            for n in X.GRAMS:
+                for i in range(len(chars) - n + 1):
+                    h = 0
+                    for c in chars[i : i + n]:
+                        h = (h * 0x100000001B3 + c) % (1 << 64)
+                    grams.append(int(X.mix(np.array([(h + (n << 56)) % (1 << 64)], np.uint64))[0] >> np.uint64(64 - 17)))
+            scores.append(np.mean(gram[grams]))
+        begins = range(0, max(len(words) - X.WINDOW // 2, 1), X.WINDOW // 2)
+        want = max((sum(scores[a : a + X.WINDOW]) / X.WINDOW - 0.25 for a in begins), default=-0.25) if words else -0.25
+        assert got == pytest.approx(want)
+
+
 def test_toxicity_learns_unseen_misspellings():
     rng = random.Random(11)
     plain = ["".join(rng.choice("abcdeiotrs") for _ in range(rng.randint(2, 8))) for _ in range(300)]
