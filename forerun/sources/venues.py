@@ -91,6 +91,85 @@ def coinbase_levels(messages: DataFrame) -> DataFrame:
     return m.select("recv_us", "seq", F.col("product_id").alias("sym"), F.col("type").alias("kind"), F.coalesce(micros_from_iso(F.col("time")), F.col("recv_us")).alias("exch_us"), F.to_json(levels).alias("levels"))
 
 
+def coinbase_tickers(messages: DataFrame) -> DataFrame:
+    """Best quotes of the ticker channel; sizes may be missing."""
+    f = lambda name: F.get_json_object("json", f"$.{name}")
+    t = F.coalesce(micros_from_iso(f("time")), F.col("recv_us"))
+    rows = messages.where(f("type") == "ticker")
+    out = rows.select(t.alias("exch_us"), "recv_us", f("product_id").alias("sym"), F.lit("COINBASE").alias("venue"), F.lit("SPOT").alias("inst"), number(f("best_bid")).alias("bid"), number(f("best_bid_size")).alias("bidsz"), number(f("best_ask")).alias("ask"), number(f("best_ask_size")).alias("asksz"))
+    return out.where("bid IS NOT NULL AND ask IS NOT NULL")
+
+
+def binance_snapshots(messages: DataFrame) -> DataFrame:
+    """Depth snapshots (recv_us, seq, sym, json) with the id of their last update and their levels as text pairs."""
+    f = lambda name: F.get_json_object("json", f"$.{name}")
+    return messages.where(f("lastUpdateId").isNotNull()).select("recv_us", "seq", "sym", f("lastUpdateId").try_cast("long").alias("last_u"), F.from_json(f("bids"), _LEVELS).alias("bids"), F.from_json(f("asks"), _LEVELS).alias("asks"))
+
+
+def _depth_book(perp: bool):
+    """The book of one symbol that ``_sequence`` allows: emits its changed two-sided tops, and again after a resync."""
+    import json
+
+    follow, bids, asks = _sequence(perp), {}, {}
+    waiting: list[tuple] = []
+    last = None
+
+    def put(book, levels):
+        for level in json.loads(levels or "[]"):
+            px, qty = float(level[0]), float(level[1])
+            if qty:
+                book[px] = qty
+            else:
+                book.pop(px, None)
+
+    def step(kind, first, end, before, exch_us, bid_levels, ask_levels):
+        nonlocal last, waiting
+        (state,) = follow(kind, first, end, before)
+        event = (end, bid_levels, ask_levels)
+        if state == "gap":
+            bids.clear()
+            asks.clear()
+            waiting, last = [] if kind == "snapshot" else [event], None
+            return None
+        if state == "waiting":
+            waiting.append(event)
+            return None
+        if state not in ("ok", "synced"):
+            return None
+        if state == "synced":
+            bids.clear()
+            asks.clear()
+            last = None
+        for e, b, a in [event, *(w for w in waiting if w[0] > end)] if state == "synced" else [event]:
+            put(bids, b)
+            put(asks, a)
+        waiting = []
+        if not bids or not asks:
+            return None
+        bid, ask = max(bids), min(asks)
+        top = (bid, bids[bid], ask, asks[ask])
+        if top == last:
+            return None
+        last = top
+        return (exch_us, *top)
+
+    return step
+
+
+def depth_quotes(depth: DataFrame, snapshots: DataFrame, perp: bool = False) -> DataFrame:
+    """(sym, recv_us, seq, exch_us, bid, bidsz, ask, asksz): tops of books kept from updates and snapshots."""
+    none, text = F.lit(None).cast("long"), lambda c: F.to_json(c)
+    updates = depth.select("sym", "recv_us", "seq", F.lit("delta").alias("kind"), "first_u", "last_u", "prev_u" if perp else none.alias("prev_u"), "exch_us", text("bids").alias("bids"), text("asks").alias("asks"))
+    whole = snapshots.select("sym", "recv_us", "seq", F.lit("snapshot").alias("kind"), none.alias("first_u"), "last_u", none.alias("prev_u"), F.col("recv_us").alias("exch_us"), text("bids").alias("bids"), text("asks").alias("asks"))
+    as_int = lambda x: None if x is None or x != x else int(x)
+
+    def make(sym):
+        step = _depth_book(perp)
+        return lambda kind, first, end, before, at, b, a: step(kind, as_int(first), as_int(end), as_int(before), as_int(at), b, a)
+
+    return K.fold(updates.unionByName(whole), ["sym"], ["recv_us", "seq"], ["kind", "first_u", "last_u", "prev_u", "exch_us", "bids", "asks"], make, {"exch_us": "long", "bid": "double", "bidsz": "double", "ask": "double", "asksz": "double"})
+
+
 def _book():
     """Order book of one symbol: snapshots replace, updates set or (size 0) delete; emits a changed two-sided top."""
     import json

@@ -177,6 +177,16 @@ def test_sequences_by_hand(spark):
     assert [r["state"] for r in venues.perp_gaps(df, ["sym"]).orderBy("seq").collect()] == ["early", "waiting", "waiting", "synced", "ok", "stale", "gap", "synced", "stale", "ok", "ok", "gap"]
 
 
+def test_depth_book_through_a_gap(spark):
+    up = lambda u0, u1, b=(), a=(): {"e": "depthUpdate", "E": 1, "s": "X", "U": u0, "u": u1, "b": [list(x) for x in b], "a": [list(x) for x in a]}
+    rows = [up(5, 6, [("99", "1")]), {"lastUpdateId": 5, "bids": [["98", "2"]], "asks": [["101", "3"]]}, up(7, 8, (), [("100", "1")]), up(9, 9, (), [("102", "1")]), up(12, 13, [("99.5", "1")]), up(14, 14), {"lastUpdateId": 20, "bids": [["97", "1"]], "asks": [["103", "1"]]}, up(20, 22, [("97", "0"), ("96", "4")])]
+    m = messages(spark, rows).withColumn("sym", F.lit("X"))
+    got = venues.depth_quotes(venues.binance_depth(m), venues.binance_snapshots(m)).orderBy("seq").collect()
+    assert [(r["seq"], r["bid"], r["bidsz"], r["ask"], r["asksz"]) for r in got] == [(2, 99.0, 1.0, 101.0, 3.0), (3, 99.0, 1.0, 100.0, 1.0), (7, 97.0, 1.0, 103.0, 1.0), (8, 96.0, 4.0, 103.0, 1.0)]
+    ticker = messages(spark, [{"type": "ticker", "product_id": "BTC-USD", "time": "2024-01-01T00:00:00.5Z", "best_bid": "1", "best_ask": "2", "best_bid_size": "3"}, {"type": "ticker", "product_id": "BTC-USD", "best_bid": "1"}])
+    assert [(r["exch_us"], r["bid"], r["bidsz"], r["ask"], r["asksz"]) for r in venues.coinbase_tickers(ticker).collect()] == [(1704067200500000, 1.0, 3.0, 2.0, None)]
+
+
 def test_reconnect_emits_again(spark):
     rows = [(1, 5.0, False), (2, 5.0, False), (3, 5.0, True), (4, 5.0, False), (5, 6.0, False)]
     df = spark.createDataFrame(rows, "seq long, bid double, fresh boolean").withColumn("sym", F.lit("X"))
