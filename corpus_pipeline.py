@@ -2,6 +2,11 @@
 
 Each stage takes all that the one before kept. The fitted stages learn from the labelled rows of their own input, in
 the learning fold (crc32 of the id, modulo 5, is not 0).
+
+Null texts are empty documents to the classifiers, link with nothing, hold no item and have no tokens. Rows without an id
+are judged like others, teach nothing and are no duplicates; of rows that share an id one stays. Texts of any length are
+read whole. Other columns, whatever their names, are carried to the last stage. Empty tables give empty results: without
+labels the classifiers keep what their prior keeps.
 """
 
 from __future__ import annotations
