@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from forerun.config import HOUR, Config
 from forerun.operators import detect, monitor, score
 from forerun.schema import LEG, QUOTE
-from forerun.sources import sinks, venues
+from forerun.sources import feeds, sinks, venues
 from forerun.streaming import live, watch
 
 
@@ -167,6 +167,26 @@ def test_streams_start_and_stop_in_order(spark, tmp_path):
     assert not spark.streams.active
 
 
+def test_feeds_route_and_connect(spark):
+    rows = feeds.to_table(spark, [(1, "5"), (2, None)], "seq long, px string")
+    assert [tuple(r) for r in feeds.to_table(spark, rows, "px double, seq int").collect()] == [(5.0, 1), (None, 2)]
+    got = []
+    batch = spark.createDataFrame([("trades", 1), ("quotes", 2), ("noise", 3), ("trades", 4)], "table string, seq long")
+    feeds.dispatcher({"quotes": lambda df, e: got.append(("quotes", e, df.columns, df.count())), "trades": lambda df, e: got.append(("trades", e, df.columns, df.count())), "none": lambda df, e: got.append("never")})(batch, 7)
+    assert got == [("quotes", 7, ["seq"], 1), ("trades", 7, ["seq"], 2)]
+    waited, tries = [], []
+
+    def flaky():
+        tries.append(1)
+        if len(tries) < 3:
+            raise OSError("not yet")
+        return "ok"
+
+    assert feeds.connect(flaky, 5, 2.0, waited.append) == "ok" and waited == [2.0, 2.0]
+    with pytest.raises(OSError):
+        feeds.connect(lambda: (_ for _ in ()).throw(OSError()), 2, 0, waited.append)
+
+
 def test_sequences_by_hand(spark):
     cols = "seq long, kind string, first_u long, last_u long, prev_u long"
     spot = [("delta", 5, 7, None), ("snapshot", None, 3, None), ("delta", 8, 9, None), ("snapshot", None, 8, None), ("delta", 8, 9, None), ("delta", 10, 12, None), ("delta", 1, 5, None), ("delta", 15, 16, None), ("delta", 17, 18, None), ("snapshot", None, 30, None), ("delta", 31, 33, None), ("snapshot", None, 40, None)]
