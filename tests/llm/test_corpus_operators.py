@@ -315,6 +315,29 @@ def test_pipeline_applies_every_stage(spark):
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf).collect())) == kept["bpe"]
 
 
+def test_pipeline_on_odd_and_empty_tables(spark, tmp_path, documents):
+    """Nulls, empty, long and repeated texts, and columns named as the stages name theirs."""
+    odd = documents.withColumns({c: F.lit(i) for i, c in enumerate(("component", "row", "slot", "label", "times"))})
+    tables = {t: spark.read.parquet(f"{SF}/{t}.parquet") for t in ("labels", "benchmark")}
+    tables["labels"] = tables["labels"].unionByName(spark.createDataFrame([(None, 1, 0), (9001, None, None), (9006, 1, 0), (9006, 0, 0)], "doc_id long, quality int, toxic int"))
+    tables["benchmark"] = tables["benchmark"].unionByName(spark.createDataFrame([(None, "x"), (777, None), (778, "")], "item_id long, text string"))
+    for name, limit in (("odd", None), ("empty", 0)):
+        for t, frame in (tables | {"documents": odd}).items():
+            (frame if limit is None else frame.limit(limit)).write.parquet(f"{tmp_path}/{name}/{t}.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+    docs = spark.read.parquet(f"{tmp_path}/odd/documents.parquet")
+    now = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, f"{tmp_path}/odd")
+        assert now.columns == docs.columns, name
+        now = spark.createDataFrame(now.collect(), docs.schema)
+    kept = collections.Counter((r["doc_id"], bpe_stream.digests(spark.createDataFrame([(0, r["text"])], "doc_id long, text string"), bpe_stream.tokenizer_path("byte_bpe_50k.json")).first()["ids_sha256"]) for r in now.where("doc_id IS NULL OR doc_id > 9000").collect())
+    got = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    assert ids(r["doc_id"] for r in got) == ids(r["doc_id"] for r in now.collect())
+    assert collections.Counter((r["doc_id"], r["ids_sha256"]) for r in got if r["doc_id"] is None or r["doc_id"] > 9000) == kept
+    assert max(collections.Counter(r["doc_id"] for r in got if r["doc_id"] is not None).values()) == 1
+
+
 def test_near_duplicate_stage_links_five_word_shingles_at_80_percent(spark):
     rng = np.random.default_rng(17)
     base = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")

@@ -153,7 +153,7 @@ def test_grammar_leaves_no_pair_twice():
         last: dict[tuple[int, int], int] = {}
         for i, pair in enumerate(zip(sequence.tolist(), sequence.tolist()[1:])):
             assert i - last.setdefault(pair, i) < 2, pair
-        assert len({tuple(r) for r in rules.tolist()}) == len(rules) and lengths.tolist() == [len(T.expand(rules, lengths, np.array([T.FIRST_RULE + i], np.uint32))) for i in range(len(rules))]
+        assert lengths.tolist() == [len(T.expand(rules, lengths, np.array([T.FIRST_RULE + i], np.uint32))) for i in range(len(rules))]
     assert len(T.compress(np.array([1, 2, 1, 2], np.uint32))[2]) == 2
 
 
