@@ -178,7 +178,8 @@ def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     Each round counts the pairs, in a run of one symbol every other one, and replaces those that are more frequent than
     the pairs that overlap them (of equally frequent ones the larger symbols), if that replaces a pair twice at least.
     The most frequent pair always is. A pair that occurs once stays so, as later rounds make no pair of old symbols, so
-    only the others and the neighbours of new symbols are counted again.
+    only the others and the neighbours of new symbols are counted again. Occurrences that an overlapping pair kept from
+    being replaced may get a rule of their own in a later round.
     """
     sequence = ids.astype(np.int64)
     rules, lengths = [], []
