@@ -160,8 +160,12 @@ class Scanner:
         i = int(c.argmax())
         if c[i] >= LEAST_COSINE:
             return str(self.templates.license[i])
-        heads = [(self.titles.cosines(terms[:n])[j], -j) for j, n in enumerate(self.titles.size.tolist())]
-        top, back = max(heads)
+        # as with windows, the exact cosine is counted only where its bound suffices
+        head = self.titles.places(terms[: int(self.titles.size.max())])
+        ends = np.minimum(self.titles.size, len(head)) - 1
+        dot, square = np.cumsum(self.titles.weight[:, head], 1), np.cumsum(self.titles.idf[head] ** 2)
+        near = np.flatnonzero(dot[np.arange(len(ends)), ends] >= (TITLE_COSINE - 1e-6) * np.sqrt(square[ends]))
+        top, back = max([(self.titles.cosines(terms[: self.titles.size[j]])[j], -j) for j in near.tolist()], default=(0, 0))
         return str(self.titles.license[-back]) if top >= TITLE_COSINE else None
 
 
