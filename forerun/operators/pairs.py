@@ -11,6 +11,8 @@ from ..functions.stats import poisson_tail
 from ..schema import LEG
 
 PAIR = ["sym", "direction", "lead_venue", "lead_inst", "follow_venue", "follow_inst"]
+#: Microseconds summed over matches outgrow 64 bits from some 10^7 matches on.
+WIDE = "decimal(38,0)"
 
 
 def leg_pairs(moves: DataFrame, mode: str) -> DataFrame:
@@ -24,22 +26,32 @@ def leg_pairs(moves: DataFrame, mode: str) -> DataFrame:
 def pair_counts(moves: DataFrame, pairs: DataFrame, follow: int, dead: int) -> DataFrame:
     """(pair, obs, lag_us): for each follow move the lead moves ``dead`` to ``follow`` earlier, both inclusive.
 
-    Leads and follows of a pair are one tagged series; a range frame counts the leads behind each follow, so the work is
-    linear where a join's matches would be quadratic. Time is cut into buckets of a few windows, leads reaching into
-    the next bucket, so no pair's series is ever one task. ``t`` is relative to the window start: sums stay small.
+    Leads and follows of a pair are one tagged series, moves of the same time one row; the leads behind each follow are
+    the difference of two running sums, so the work is linear where a join's matches would be quadratic. Time is cut into
+    buckets of a few windows, leads reaching into the next bucket, so no pair's series is ever one task. ``t`` counts
+    from the bucket's start, and what grows with the matches is summed in 38 digits.
     """
     if dead > follow:
-        return pairs.select(*PAIR).withColumn("obs", F.lit(0).cast("long")).withColumn("lag_us", F.lit(0).cast("long"))
+        return pairs.select(*PAIR).withColumn("obs", F.lit(0).cast("long")).withColumn("lag_us", F.lit(0).cast(WIDE))
     width = 4 * max(follow, 1)
     keys = pairs.select(*PAIR)
-    lead = moves.select("sym", "direction", F.col("venue").alias("lead_venue"), F.col("inst").alias("lead_inst"), "t").join(keys, ["sym", "direction", "lead_venue", "lead_inst"])
-    lead = lead.select(*PAIR, "t", F.lit(1).alias("is_lead"), F.explode(F.sequence(F.floor((F.col("t") + dead) / width), F.floor((F.col("t") + follow) / width))).alias("bucket"))
-    foll = moves.select("sym", "direction", F.col("venue").alias("follow_venue"), F.col("inst").alias("follow_inst"), "t").join(keys, ["sym", "direction", "follow_venue", "follow_inst"])
-    foll = foll.select(*PAIR, "t", F.lit(0).alias("is_lead"), F.floor(F.col("t") / width).alias("bucket"))
-    w = Window.partitionBy(*PAIR, "bucket").orderBy("t").rangeBetween(-follow, -dead)
-    # follows count leads only; the frame's sums skip follows
-    counted = lead.unionByName(foll).withColumn("c", F.coalesce(F.sum("is_lead").over(w), F.lit(0))).withColumn("s", F.coalesce(F.sum(F.col("is_lead") * F.col("t")).over(w), F.lit(0)))
-    return counted.where("is_lead = 0").groupBy(*PAIR).agg(F.sum("c").alias("obs"), F.sum(F.col("c") * F.col("t") - F.col("s")).alias("lag_us"))
+    times = moves.groupBy(*LEG, "direction", "t").agg(F.count("*").alias("n"))
+    lead = times.select("sym", "direction", F.col("venue").alias("lead_venue"), F.col("inst").alias("lead_inst"), "t", "n").join(keys, ["sym", "direction", "lead_venue", "lead_inst"])
+    lead = lead.select(*PAIR, "t", F.col("n").alias("leads"), F.lit(0).cast("long").alias("follows"), F.explode(F.sequence(F.floor((F.col("t") + dead) / width), F.floor((F.col("t") + follow) / width))).alias("bucket"))
+    foll = times.select("sym", "direction", F.col("venue").alias("follow_venue"), F.col("inst").alias("follow_inst"), "t", "n").join(keys, ["sym", "direction", "follow_venue", "follow_inst"])
+    foll = foll.select(*PAIR, "t", F.lit(0).cast("long").alias("leads"), F.col("n").alias("follows"), F.floor(F.col("t") / width).alias("bucket"))
+    series = lead.unionByName(foll).withColumn("t", F.col("t") - F.col("bucket") * width)
+    w = Window.partitionBy(*PAIR, "bucket").orderBy("t")
+    near, far = w.rangeBetween(Window.unboundedPreceding, -dead), w.rangeBetween(Window.unboundedPreceding, -follow - 1)
+    moment = F.col("leads").cast(WIDE) * F.col("t")
+
+    def between(value):
+        return F.coalesce(F.sum(value).over(near), F.lit(0)) - F.coalesce(F.sum(value).over(far), F.lit(0))
+
+    # follows count leads only; their own rows add nothing to the sums
+    counted = series.withColumn("c", between(F.col("leads"))).withColumn("s", between(moment)).where("follows > 0")
+    lag = F.col("follows").cast(WIDE) * (F.col("c").cast(WIDE) * F.col("t") - F.col("s")).cast(WIDE)
+    return counted.groupBy(*PAIR).agg(F.sum(F.col("follows") * F.col("c")).alias("obs"), F.sum(lag.cast(WIDE)).cast(WIDE).alias("lag_us"))
 
 
 def pair_matrix(moves: DataFrame, cfg: Config, lo: int | None, end: int | None, dead: int | None = None) -> DataFrame:
@@ -61,7 +73,7 @@ def pair_matrix(moves: DataFrame, cfg: Config, lo: int | None, end: int | None,
     width = max(0, cfg.follow_window - dead)
     counts = pair_counts(based, pairs, cfg.follow_window, dead)
     full = pairs.join(counts, PAIR, "left").join(F.broadcast(span.select("span")))
-    full = full.withColumn("obs", F.coalesce("obs", F.lit(0)).cast("long")).withColumn("lag_us", F.coalesce("lag_us", F.lit(0)).cast("long"))
+    full = full.withColumn("obs", F.coalesce("obs", F.lit(0)).cast("long")).withColumn("lag_us", F.coalesce("lag_us", F.lit(0)).cast("double"))
     full = full.withColumn("expected", F.col("n_follow") * (F.col("n_lead") / F.col("span")) * width)
     return full.select(
         *PAIR, "n_lead", "n_follow", "obs",

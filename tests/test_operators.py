@@ -109,6 +109,17 @@ def test_pair_counts_equal_brute_force(spark, dead):
     assert {k: v for k, v in got.items() if v[0]} == want
 
 
+def test_pair_sums_beyond_64_bits(spark):
+    day = 86_400_000_000
+    lead = spark.range(30_000).select(F.lit("BTC").alias("sym"), F.lit("A").alias("venue"), F.lit("SPOT").alias("inst"), F.lit("up").alias("direction"), (F.col("id") % 3 * day).alias("t"))
+    foll = spark.range(30_000).select(F.lit("BTC").alias("sym"), F.lit("B").alias("venue"), F.lit("SPOT").alias("inst"), F.lit("up").alias("direction"), F.lit(2500 * day).alias("t"))
+    df = lead.unionByName(foll)
+    got = pairs.pair_counts(df, pairs.leg_pairs(df, "crossVenue"), 2600 * day, 0).where("obs > 0").collect()
+    assert [(r["lead_venue"], r["obs"], int(r["lag_us"])) for r in got] == [("A", 9 * 10**8, 9 * 10**8 * 2499 * day)]
+    m = pairs.pair_matrix(df.withColumn("event_us", F.col("t")).withColumn("recv_us", F.col("t")), Config(follow_window=2600 * day), None, None, 0).where("obs > 0").first()
+    assert m["avg_lag_ms"] == pytest.approx(2499 * day / 1000)
+
+
 def test_matches_equal_brute_force(spark):
     rows, df = random_moves(spark, 250, 9)
     cfg = Config(follow_window=900, dead_band=0)
