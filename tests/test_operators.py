@@ -109,6 +109,14 @@ def test_pair_counts_equal_brute_force(spark, dead):
     assert {k: v for k, v in got.items() if v[0]} == want
 
 
+def test_bars_do_not_depend_on_the_order_of_arrival(spark):
+    rows = [("BTC", "A", "SPOT", 1, 1, 250.0), ("BTC", "A", "SPOT", 1, 1, 100.0), ("BTC", "A", "SPOT", 1, 1, -100.0), ("BTC", "A", "SPOT", 2, 2, 120.0)]
+    for order in (rows, rows[::-1], rows[2:] + rows[:2]):
+        trades = spark.createDataFrame(order, "sym string, venue string, inst string, event_us long, seq long, signed double").coalesce(1)
+        got = [tuple(r) for r in detect.imbalance_bars(trades, Config(bar_by_sym={}, bar_default=300.0)).collect()]
+        assert got == [("BTC", "A", "SPOT", 2, 2, 1)]
+
+
 def test_pair_sums_beyond_64_bits(spark):
     day = 86_400_000_000
     lead = spark.range(30_000).select(F.lit("BTC").alias("sym"), F.lit("A").alias("venue"), F.lit("SPOT").alias("inst"), F.lit("up").alias("direction"), (F.col("id") % 3 * day).alias("t"))
