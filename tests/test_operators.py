@@ -135,6 +135,23 @@ def test_matches_equal_brute_force(spark):
     assert match.follow_matches(df, cfg).count() == want > 0
 
 
+def test_events_equal_cooled_matches(spark):
+    _, df = random_moves(spark, 250, 9)
+    key = lambda r: tuple(r[c] for c in (*match.DIRECTED, "ts", "lag_ms", "move_size_bps", "clock_skew_ms"))
+    for dead in (0, 7, 1000):
+        cfg = Config(follow_window=900, dead_band=dead, cooldown=400)
+        got = sorted(map(key, match.events(df, cfg).collect()))
+        assert got == sorted(map(key, match.cooled(match.follow_matches(df, cfg), cfg.cooldown).collect())) and bool(got) == (dead <= 900)
+
+
+def test_cooldown_reads_follow_times_not_matches(spark, monkeypatch):
+    df = spark.range(400).select(F.lit("X").alias("sym"), F.when(F.col("id") < 200, "A").otherwise("B").alias("venue"), F.lit("SPOT").alias("inst"), F.when(F.col("id") < 200, 10).otherwise(600).cast("long").alias("event_us"), F.lit(700).cast("long").alias("recv_us"), F.col("id").alias("seq"), F.lit(1.0).alias("mid"), F.lit(1.0).alias("move_bps"), F.lit("up").alias("direction"))
+    seen, cooled = [], match.cooled
+    monkeypatch.setattr(match, "cooled", lambda m, gap: seen.append(m.count()) or cooled(m, gap))
+    assert match.events(df, Config(follow_window=900, dead_band=7)).count() == 200 * 200
+    assert seen == [1]
+
+
 def test_dead_band_beyond_window_expects_nothing(spark):
     _, df = random_moves(spark, 100, 3)
     got = pairs.pair_matrix(df, Config(follow_window=100, dead_band=500), None, None).collect()
