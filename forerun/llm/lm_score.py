@@ -3,9 +3,10 @@
 The network sees the vectors of the words around a gap and makes a vector of what is expected there; each word has an
 output vector, and P(word | both sides) = p(word) exp(expected . output) / Z, a softmax over the whole vocabulary with
 the corpus shares p as its prior. p comes from exact counts of every word of every document, a table that grows with the
-corpus: the most frequent words' counts go to the workers, all others are joined. Z is a sum over the most frequent
-words and an estimate from a sample of the rest, the same for all documents. A document's score is the sum of the
-logarithms of its words' conditional probabilities.
+corpus: the most frequent words' counts go to the workers, all others are joined. Z is the exact sum over every word of
+the vocabulary: a word's output vector is the sum of two of ``OUT`` rows, so words fall into OUT x OUT cells, and the
+cells' exact shares C give Z = e' C e with e the exponentials of the expected vector's products with the rows. A
+document's score is the sum of the logarithms of its words' conditional probabilities.
 
 The fit covers every window of every document, too. Documents are dealt by hash into blocks, each block trains from the
 round's weights, and the blocks' weights are averaged in whole numbers, so the model does not depend on how the input is
@@ -25,21 +26,21 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, discard, materialise, table
 from .textkernel import U, Words, steps
 
-#: Words on each side; rows of the tables of input and output vectors, which words share by hash (an output vector is
-#: the sum of two rows); their length; hidden units.
-SIDE, ROWS, DIM, HIDDEN = 2, 4096, 16, 24
+#: Words on each side; rows of the table of input vectors and of that of output vectors, which words share by hash (an
+#: output vector is the sum of two rows); their length; hidden units.
+SIDE, ROWS, OUT, DIM, HIDDEN = 2, 4096, 64, 16, 24
 #: Windows of a training step, negatives that a step shares, step sizes of vectors and of layers, words of a block,
 #: rounds (each trains on its share of the blocks).
 BATCH, NEGATIVES, RATE, LAYER_RATE, BLOCK_WORDS, ROUNDS = 4096, 48, 0.05, 0.01, 1 << 20, 2
-#: Words whose counts go to the workers (those of the most frequent, 2 MB), and in Z: the most frequent, sampled others.
-KNOWN, TOP, SAMPLED = 1 << 17, 32, 96
+#: Words whose counts go to the workers (those of the most frequent, 2 MB); the others' counts are joined.
+KNOWN = 1 << 17
 #: Windows of a scoring step, words counted together before their counts go to the shuffle.
 SCORE_BATCH, COUNT_STEP = 1 << 14, 1 << 21
 #: Weights are averaged as whole numbers of this grain; a block weighs its words in units of WEIGHT.
 GRAIN, WEIGHT = 1 << 16, 1 << 10
 
 Params = list[np.ndarray]
-_SHAPES = ((ROWS, DIM), (2 * SIDE * DIM, HIDDEN), (HIDDEN,), (HIDDEN, DIM), (ROWS, DIM))
+_SHAPES = ((ROWS, DIM), (2 * SIDE * DIM, HIDDEN), (HIDDEN,), (HIDDEN, DIM), (OUT, DIM))
 
 
 def words_of(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -60,6 +61,12 @@ def initial() -> np.ndarray:
 
 
 def unpack(flat: np.ndarray) -> Params:
+    """The tables, that of output vectors repeated to ``ROWS`` rows: row r is row r mod ``OUT``."""
+    *others, out = views(flat)
+    return [*others, np.tile(out, (ROWS // OUT, 1))]
+
+
+def views(flat: np.ndarray) -> Params:
     out, at = [], 0
     for s in _SHAPES:
         n = int(np.prod(s))
@@ -83,7 +90,7 @@ def contexts(ids: np.ndarray, offset: np.ndarray) -> np.ndarray:
 
 
 def output_rows(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (ids & (ROWS - 1)).astype(np.int32), ((ids >> 12) & (ROWS - 1)).astype(np.int32)
+    return (ids & (OUT - 1)).astype(np.int32), ((ids >> 12) & (OUT - 1)).astype(np.int32)
 
 
 def outputs(params: Params, ids: np.ndarray) -> np.ndarray:
@@ -111,7 +118,7 @@ def _scatter(matrix: np.ndarray, grown: np.ndarray, rows: np.ndarray, change: np
 
 def learn(flat: np.ndarray, ids: np.ndarray, offset: np.ndarray) -> np.ndarray:
     """The weights after one pass of Adagrad over all windows: tell each word from words drawn at random."""
-    params = unpack(flat.copy())
+    params = views(flat.copy())
     vectors, w1, b1, w2, out = params
     grown = [np.full(len(p) if p is vectors or p is out else p.shape, 1e-6, dtype=np.float32) for p in params]
     context = contexts(ids, offset)
@@ -145,7 +152,7 @@ class Model:
     total: int  # words of the corpus
     known: np.ndarray  # sorted hashes of the most frequent words
     counts: np.ndarray
-    z_words: np.ndarray  # words whose terms make Z, and their weights
+    z_words: np.ndarray  # a word of each cell of Z, and the shares of all its words
     z_weights: np.ndarray
 
 
@@ -179,7 +186,7 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 def shares(counts: DataFrame) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(total, known words, their counts, words of Z, their weights); at most ``KNOWN`` words come to the driver."""
+    """(total, known words, their counts, a word of each cell of Z, the cells' shares); at most ``KNOWN`` words come to the driver."""
     levels = counts.groupBy(F.floor(F.log2("n") * 8).cast("int").alias("level")).agg(F.count("*").alias("words"), F.sum("n").alias("n")).orderBy(F.desc("level")).collect()  # a few hundred
     total, words, least = sum(r["n"] for r in levels), 0, 0
     for r in levels:
@@ -191,17 +198,11 @@ def shares(counts: DataFrame) -> tuple[int, np.ndarray, np.ndarray, np.ndarray,
     word, n = frame["word"].to_numpy(np.int64).view(np.uint64), frame["n"].to_numpy(np.int64)
     order = np.argsort(word)
     word, n = word[order], n[order]
-    top = np.lexsort((word, -n))[:TOP]
-    # the others by a race of exponential clocks: a draw in proportion to the counts, the same for all partitionings
-    clock = -F.log((F.pmod(F.xxhash64("word"), F.lit(1 << 52)) + 1) / F.lit(float(1 << 52))) / F.col("n")
-    rest = counts.where(~F.col("word").isin(word[top].view(np.int64).tolist())).orderBy(clock, "word").limit(SAMPLED + 1).toPandas()
-    mass = total - int(n[top].sum())
-    drawn = rest["n"].to_numpy(float) / max(total, 1)
-    if len(rest) > SAMPLED:  # a sample; fewer words are all there are
-        rest = rest.iloc[:SAMPLED]
-        drawn = np.full(SAMPLED, mass / total / SAMPLED)
-    z_words = np.concatenate((word[top], rest["word"].to_numpy(np.int64).view(np.uint64)))
-    return total, word, n, z_words, np.concatenate((n[top] / max(total, 1), drawn))
+    # every word is in a cell, at most OUT x OUT of them
+    high = F.shiftrightunsigned("word", 32)
+    cell = [high.bitwiseAND(F.lit(OUT - 1)), F.shiftright(high, 12).bitwiseAND(F.lit(OUT - 1))]
+    cells = counts.groupBy(*cell).agg(F.min("word").alias("word"), F.sum("n").alias("n")).select("word", "n").orderBy("word").toPandas()
+    return total, word, n, cells["word"].to_numpy(np.int64).view(np.uint64), cells["n"].to_numpy(float) / max(total, 1)
 
 
 def blocks(docs: DataFrame, total: int) -> DataFrame:
@@ -268,15 +269,29 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     return Model(flat, total, known, n, z_words, z_weights), counts
 
 
+def log_z(s: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """log of sum over a, b of cells[a, b] exp(s[a] + s[b]), a row of ``s`` at a time; in doubles where floats underflow."""
+    top = s.max(1)
+    e = np.exp(s - top[:, None])
+    z = np.einsum("ij,ij->i", e @ cells.astype(e.dtype), e).astype(float)
+    low = np.flatnonzero(z < 1e-25) if s.dtype == np.float32 else np.zeros(0, int)
+    z[low] = 1
+    out = np.log(z) + 2 * top
+    if len(low):
+        out[low] = log_z(s[low].astype(float), cells)
+    return out
+
+
 def log_probabilities(texts, model: Model):
     """(position, words, summed log-probability short of the counts of rare words, rare words) of each text.
 
     A rare word counts as if it occurred once; the logarithm of its true count is to be added.
     """
-    params = unpack(model.flat)
-    z_out = outputs(params, short(model.z_words)).T
-    z_weights = model.z_weights.astype(np.float32)
-    log_counts = np.log(model.counts)
+    params = views(model.flat)
+    cells = np.zeros((OUT, OUT))
+    np.add.at(cells, output_rows(short(model.z_words)), model.z_weights)
+    some = len(model.known) > 0  # where too many words share the greatest count, all are joined
+    known, log_counts = (model.known, np.log(model.counts)) if some else (np.zeros(1, U), np.zeros(1))
     for part in steps(texts):
         words, offset = words_of([b for _, b in part])
         if not len(words):
@@ -284,14 +299,12 @@ def log_probabilities(texts, model: Model):
             continue
         ids = short(words)
         context = contexts(ids, offset)
-        at = np.minimum(np.searchsorted(model.known, words), len(model.known) - 1)
-        rare = model.known[at] != words
+        at = np.minimum(np.searchsorted(known, words), len(known) - 1)
+        rare = (known[at] != words) | (not some)
         each = np.where(rare, 0, log_counts[at]) - np.log(model.total)
         for a in range(0, len(ids), SCORE_BATCH):
             _, _, g = forward(params, context[a : a + SCORE_BATCH])
-            s = g @ z_out
-            z = np.exp(np.minimum(s, 80, out=s), out=s) @ z_weights
-            each[a : a + SCORE_BATCH] += np.einsum("ij,ij->i", g, outputs(params, ids[a : a + SCORE_BATCH])) - np.log(z)
+            each[a : a + SCORE_BATCH] += np.einsum("ij,ij->i", g, outputs(params, ids[a : a + SCORE_BATCH])) - log_z(g @ params[4].T, cells)
         total = np.concatenate(([0.0], np.cumsum(each)))
         for (i, _), a, b in zip(part, offset[:-1].tolist(), offset[1:].tolist()):
             yield i, b - a, total[b] - total[a], words[a:b][rare[a:b]].view(np.int64)
@@ -315,8 +328,9 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
 
     scored = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "row long, doc_id long, n_words long, part double, rare array<long>"), "scored")
     # rare words are many but none is frequent, so no key of this join is hot; those that occur once add nothing
-    least = int(model.counts.min()) if len(model.counts) else 1
-    others = counts.where((F.col("n") > 1) & (F.col("n") <= least))
+    others = counts.where("n > 1")
+    if len(model.counts):
+        others = others.where(F.col("n") <= int(model.counts.min()))
     added = scored.select("row", F.explode("rare").alias("word")).join(others, "word").groupBy("row").agg(F.sum(F.log("n")).alias("added"))
     likelihood = F.round(F.col("part") + F.coalesce("added", F.lit(0.0)), 4)
     out = scored.select("row", "doc_id", "n_words", "part").join(added, "row", "left").select("doc_id", "n_words", likelihood.alias("log_likelihood"))

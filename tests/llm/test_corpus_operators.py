@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -181,6 +182,28 @@ def test_language(spark, documents, rows):
     assert all((r["lang_pred"], r["score"]) == ("und", 0) for r in got if r["doc_id"] in (9001, 9002, 9003))
 
 
+def test_lm_norm_is_the_sum_over_every_word(spark, monkeypatch):
+    rng = random.Random(4)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.4)) % 3000}" for _ in range(200)) for _ in range(60)]
+    words, offset = lm_score.words_of([t.encode() for t in texts])
+    flat = lm_score.learn(lm_score.learn(lm_score.initial(), lm_score.short(words), offset), lm_score.short(words), offset)
+    word, n = np.unique(words, return_counts=True)
+    want = [r[2] for r in lm_score.log_probabilities(texts, lm_score.Model(flat, len(words), word, n, word, n / len(words)))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counts = lm_score.count_words(docs)
+    got = [r[2] for r in lm_score.log_probabilities(texts, lm_score.Model(flat, *lm_score.shares(counts)))]
+    assert len(word) > 500 and got == pytest.approx(want, abs=0.01)
+    monkeypatch.setattr(lm_score, "KNOWN", 0)  # no count goes to the workers: all are joined
+    model = lm_score.Model(flat, *lm_score.shares(counts))
+    scored = {r["doc_id"]: r["log_likelihood"] for r in lm_score.score(docs, model, counts).collect()}
+    assert len(model.known) == 0 and [scored[i] for i in range(len(texts))] == pytest.approx(want, abs=0.01)
+    far = np.full((1, lm_score.OUT), 0, np.float32)
+    far[0, 0] = 200
+    cells = np.zeros((lm_score.OUT, lm_score.OUT))
+    cells[1, 2] = 1
+    assert lm_score.log_z(far, cells).tolist() == pytest.approx([0], abs=1e-6)
+
+
 def test_lm_scores_every_document(spark, documents, rows, monkeypatch):
     for known in (lm_score.KNOWN, 50):  # with few words on the workers, the others' counts come by the join
         monkeypatch.setattr(lm_score, "KNOWN", known)
