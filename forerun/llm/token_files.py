@@ -9,10 +9,12 @@ it meets are expanded. A block is the unit of compression and of reading; a part
 
 from __future__ import annotations
 
+import copy
 import json
 import re
 import uuid
 import zlib
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -22,12 +24,14 @@ from pyspark.sql import functions as F
 
 from .common import shared_dir, table
 from .bpe_stream import tokenizer_path
-from .textkernel import LOWER, Words, steps
+from .textkernel import LOWER, Words, mix, steps
 
 #: First nonterminal symbol: the ids of a vocabulary must be smaller, which ``write`` checks.
 FIRST_RULE = 1 << 20
 #: Tokens in a block (whole documents; a longer document is a block of its own).
 BLOCK_TOKENS = 1 << 19
+#: Below so many tokens, a symbol and a place take 21 bits each.
+PACKED_TOKENS = 1 << 21
 #: Distinct chunks that a worker remembers.
 CACHE_CHUNKS = 1 << 20
 #: Characters tokenised in one vectorised step (or one longer document).
@@ -51,14 +55,18 @@ _CUT[_LETTER, [_DIGIT, _SIGN, _QUOTE]] = True
 _CUT[_DIGIT, [_LETTER, _DIGIT, _SIGN, _QUOTE]] = True
 _CUT[_SIGN, [_LETTER, _DIGIT]] = True
 _CUT[_QUOTE, _DIGIT] = True
+# the same as tables of bytes: a byte's kind in lower case, and whether 6 * kind + the next byte's kind is a cut
+_LOWER, _KINDS = LOWER.tobytes(), _KIND.tobytes()
+_CUTS = np.concatenate((_CUT.ravel(), np.zeros(220, dtype=bool))).tobytes()
 
 
 class ChunkEncoder:
     """Encodes texts by the library, each distinct chunk once.
 
     The vocabulary's pre-tokeniser drops white space, parts letters, digits and signs, and ignores the case of A-Z, so
-    a text's ids are those of its chunks in order. Known chunks are arrays sorted by hash, and each hit is compared by
-    its bytes. A text that may hold a special token, or a chunk that another one's hash hides, is encoded whole.
+    a text's ids are those of its chunks in order. Known chunks are found by hash in a table of open addresses, and each
+    hit is compared by its bytes. A text that may hold a special token, or a chunk that another one's hash hides, is
+    encoded whole.
     """
 
     def __init__(self, definition: str):
@@ -72,11 +80,13 @@ class ChunkEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known = np.empty(0, dtype=np.uint64)
-        self.prints = np.empty((0, 3), dtype=np.uint64)
-        self.long: dict[int, bytes] = {}  # the known chunks that their prints do not tell whole
-        self.first, self.size = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.n_known = self.n_ids = 0
+        self.table = np.full(1 << 12, -1, dtype=np.int32)  # places of the known chunks, at most half of it in use
+        # of each known chunk its hash, its print and where its ids are; these and the ids have room for more
+        self.known, self.length, self.head, self.tail = (np.empty(0, dtype=np.uint64) for _ in range(4))
+        self.first, self.size = np.empty(0, np.int64), np.empty(0, np.int32)
         self.ids = np.empty(0, dtype=np.uint32)
+        self.long: dict[int, bytes] = {}  # the known chunks that their prints do not tell whole
 
     def _library(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each chunk): many chunks at once, told apart by the tokens' places."""
@@ -90,47 +100,70 @@ class ChunkEncoder:
             sizes.append(np.bincount(owner, minlength=len(part)))
         return np.concatenate(ids), np.concatenate(sizes)
 
-    def _learn(self, hashes: np.ndarray, prints: np.ndarray, chunks: list[bytes]) -> None:
+    def _learn(self, hashes: np.ndarray, prints: tuple[np.ndarray, ...], chunks: list[bytes]) -> None:
         ids, size = self._library([c.decode("utf-8", "surrogatepass") for c in chunks])
-        first = np.cumsum(size) - size + len(self.ids)
-        known = np.concatenate((self.known, hashes))
-        order = np.argsort(known, kind="stable")
-        self.prints = np.concatenate((self.prints, prints))[order]
         self.long |= {h: c for h, c in zip(hashes.tolist(), chunks) if len(c) > 16}
-        self.known, self.first, self.size = known[order], np.concatenate((self.first, first))[order], np.concatenate((self.size, size))[order]
-        self.ids = np.concatenate((self.ids, ids))
+        a, b = self.n_known, self.n_known + len(hashes)
+        for name, new in zip(("known", "length", "head", "tail", "first", "size"), (hashes, *prints, np.cumsum(size) - size + self.n_ids, size)):
+            held = _room(getattr(self, name), a, b)
+            held[a:b] = new
+            setattr(self, name, held)
+        self.ids = _room(self.ids, self.n_ids, self.n_ids + len(ids))
+        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
+        self.n_known, self.n_ids = b, self.n_ids + len(ids)
+        if 2 * b > len(self.table):
+            self.table = np.full(4 << b.bit_length(), -1, dtype=np.int32)
+            a = 0
+        place, slot = np.arange(a, b), self._slot(self.known[a:b])
+        while len(place):
+            free = self.table[slot] < 0
+            self.table[slot[free]] = place[free]  # of several for one slot, one stays
+            rest = self.table[slot] != place
+            place, slot = place[rest], slot[rest] + 1 & len(self.table) - 1
+
+    def _slot(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(65 - len(self.table).bit_length())).astype(np.int64)
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The places of known chunks with these hashes, -1 for others."""
+        slot = self._slot(hashes)
+        found = self.table[slot]
+        if not self.n_known:
+            return found
+        other = np.flatnonzero((found >= 0) & (self.known[found] != hashes))
+        while len(other):
+            slot[other] = slot[other] + 1 & len(self.table) - 1
+            found[other] = self.table[slot[other]]
+            other = other[(found[other] >= 0) & (self.known[found[other]] != hashes[other])]
+        return found
 
     def _step(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, number of ids of each text, texts whose ids are not to be trusted)."""
         words = Chunks(raws)
-        prints = words.prints()
-        uniq, where, inverse = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        fresh = np.flatnonzero(~self._has(uniq))
-        low = words.low.tobytes()
-        if len(self.known) + len(fresh) > CACHE_CHUNKS and len(fresh):
-            # nothing is known from now on but what this step needs
-            self._forget()
-            fresh = np.arange(len(uniq))
-        if len(fresh):
-            spans = zip(words.start[where[fresh]].tolist(), words.end[where[fresh]].tolist())
-            self._learn(uniq[fresh], prints[where[fresh]], [low[a:b] for a, b in spans])
-        place = np.searchsorted(self.known, uniq)
-        at = place[inverse]
-        wrong = (self.prints[at] != prints).any(1) if len(at) else np.zeros(0, bool)
-        for i in np.flatnonzero(prints[:, 0] > 16).tolist():
-            wrong[i] |= self.long.get(int(self.known[at[i]])) != low[words.start[i] : words.end[i]]
+        prints, hashes = words.prints, words.hashes()
+        at = self._find(hashes)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            fresh, where = np.unique(hashes[new], return_index=True)
+            if self.n_known + len(fresh) > CACHE_CHUNKS:
+                # nothing is known from now on but what this step needs
+                self._forget()
+                new = np.arange(len(hashes))
+                fresh, where = np.unique(hashes, return_index=True)
+            where = new[where]
+            spans = zip(words.start[where].tolist(), words.end[where].tolist())
+            self._learn(fresh, tuple(p[where] for p in prints), [words.lower[a:b] for a, b in spans])
+            at[new] = self._find(hashes[new])
+        wrong = (self.length[at] != prints[0]) | (self.head[at] != prints[1]) | (self.tail[at] != prints[2])
+        for i in np.flatnonzero(prints[0] > 16).tolist():
+            wrong[i] |= self.long.get(int(self.known[at[i]])) != words.lower[words.start[i] : words.end[i]]
         n = self.size[at]
-        ends = np.cumsum(n)
+        ends = np.cumsum(n, dtype=np.int64)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.ids[np.arange(total) + np.repeat(self.first[at] - ends + n, n)]
         hidden = np.unique(np.searchsorted(words.offset, np.flatnonzero(wrong), side="right") - 1)
         return ids, np.diff(np.concatenate(([0], ends))[words.offset]), hidden
 
-    def _has(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.known):
-            return np.zeros(len(hashes), dtype=bool)
-        return self.known[np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)] == hashes
-
     def encode(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
         """(all ids in order, number of ids of each text), ``end`` appended to each text."""
         parts, sizes = [], np.zeros(len(texts), dtype=np.int64)
@@ -147,29 +180,54 @@ class ChunkEncoder:
         return (np.concatenate(parts) if parts else np.empty(0, np.uint32)), sizes
 
 
+def _room(array: np.ndarray, used: int, needed: int) -> np.ndarray:
+    """``array``, or a copy of its used part with room for twice what is needed."""
+    if needed <= len(array):
+        return array
+    out = np.empty(2 * needed, dtype=array.dtype)
+    out[:used] = array[:used]
+    return out
+
+
+#: Words of which the first 0 to 8 bytes count.
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+
+
 class Chunks(Words):
     """Runs that the pre-tokeniser's cuts leave, A-Z in lower case."""
 
     def __init__(self, raws: list[bytes]):
-        self.buffer = np.frombuffer(b"\n".join(raws) + b"\n", dtype=np.uint8)
-        self.low = LOWER[self.buffer]
-        kind = _KIND[self.buffer]
-        edge = np.concatenate(([True], _CUT[kind[:-1], kind[1:]]))
+        raw = b"\n".join(raws) + b"\n"
+        self.buffer, self.lower = np.frombuffer(raw, dtype=np.uint8), raw.translate(_LOWER)
+        self.low = np.frombuffer(self.lower, dtype=np.uint8)
+        kind = np.frombuffer(raw.translate(_KINDS), dtype=np.uint8)
+        edge = np.concatenate(([True], np.frombuffer((6 * kind[:-1] + kind[1:]).tobytes().translate(_CUTS), dtype=bool), [True]))
         inside = kind != _W
-        self.start = np.flatnonzero(edge & inside)
-        self.end = np.flatnonzero(np.concatenate((edge[1:], [True])) & inside) + 1
+        self.start = np.flatnonzero(edge[:-1] & inside)
+        self.end = np.flatnonzero(edge[1:] & inside) + 1
         lengths = np.fromiter(map(len, raws), dtype=np.int64, count=len(raws)) + 1
         self.doc_end = np.cumsum(lengths)
         self.offset = np.concatenate(([0], np.searchsorted(self.start, self.doc_end)))
 
-
-    def prints(self) -> np.ndarray:
+    @cached_property
+    def prints(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(length, first eight bytes, last eight bytes) of each run; of one of at most 16 bytes that is all of it."""
         padded = np.concatenate((self.low, np.zeros(8, np.uint8)))
         eight = np.ndarray(len(self.low) + 1, dtype="<u8", buffer=padded.data, strides=(1,))
         size = self.end - self.start
-        mask = ~np.uint64(0) >> (np.uint64(8) * (8 - np.minimum(size, 8)).astype(np.uint64))
-        return np.stack((size.astype(np.uint64), eight[self.start] & mask, eight[np.maximum(self.end - 8, self.start)] & mask), axis=1)
+        mask = _MASKS[np.minimum(size, 8)]
+        return size.astype(np.uint64), eight[self.start] & mask, eight[np.maximum(self.end - 8, self.start)] & mask
+
+    def hashes(self) -> np.ndarray:
+        """64-bit hashes of the runs: of their prints, where these tell all of a run, of all bytes of longer ones."""
+        size, head, tail = self.prints
+        out = mix(mix(head + size * np.uint64(0x9E3779B97F4A7C15)) + tail)
+        long = np.flatnonzero(size > 16)
+        if len(long):
+            rest = copy.copy(self)
+            rest.start, rest.end = self.start[long], self.end[long]
+            out[long] = Words.hashes(rest)
+        return out
 
 
 def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -181,49 +239,58 @@ def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     only the others and the neighbours of new symbols are counted again. Occurrences that an overlapping pair kept from
     being replaced may get a rule of their own in a later round.
     """
-    sequence = ids.astype(np.int64)
+    sequence = ids.astype(np.int32)
     rules, lengths = [], []
     at, size = FIRST_RULE, np.empty(0, dtype=np.int64)
+    # every rule takes two tokens away, so a symbol is below FIRST_RULE + half the tokens: of a block that is no single
+    # long document, a pair and its place fit into one word, and sorting that is faster than sorting places by pairs
+    packed = len(sequence) < PACKED_TOKENS
+    bits = 21 if packed else 32
+    mask = (1 << bits) - 1
     open_ = np.ones(len(sequence), dtype=bool)  # whether the pair that begins here may occur again
     while True:
         place = np.flatnonzero(open_[:-1])
         if len(place) < 2:
             break
-        key = sequence[place] << 32 | sequence[place + 1]
+        left, right = sequence[place], sequence[place + 1]
         # in a run of one symbol the pairs overlap: only every other one counts
-        same = np.flatnonzero((key >> 32) == (key & 0xFFFFFFFF))
+        same = np.flatnonzero(left == right)
         if len(same):
-            begin = np.concatenate(([True], (np.diff(place[same]) != 1) | (np.diff(key[same]) != 0)))
+            begin = np.concatenate(([True], (np.diff(place[same]) != 1) | (np.diff(left[same]) != 0)))
             first = np.flatnonzero(begin)
             inside = np.arange(len(same)) - np.repeat(first, np.diff(np.concatenate((first, [len(same)]))))
-            skip = np.ones(len(place), dtype=bool)
-            skip[same[inside % 2 == 1]] = False
-            place, key = place[skip], key[skip]
-        order = np.argsort(key)
-        ordered = key[order]
-        edge = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        count = np.diff(np.concatenate((edge, [len(ordered)])))
-        rank = np.empty(len(edge), dtype=np.int64)
-        rank[np.lexsort((edge, count))] = np.arange(1, len(edge) + 1)
-        rank[count < 2] = 0
-        if not rank.any():
+            skip = same[inside % 2 == 1]
+        else:
+            skip = same
+        key = left.astype(np.int64) << bits | right
+        if packed:
+            key = np.sort(np.delete(key << bits | place, skip))
+            place, key = key & mask, key >> bits
+        else:
+            place, key = np.delete(place, skip), np.delete(key, skip)
+            order = np.argsort(key)
+            place, key = place[order], key[order]
+        edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        count = np.diff(np.concatenate((edge, [len(key)])))
+        twice = np.flatnonzero(count > 1)
+        if not len(twice):
             break
-        pair = np.empty(len(place), dtype=np.int64)
-        pair[order] = np.repeat(np.arange(len(edge)), count)
-        weight = np.zeros(len(sequence) + 1, dtype=np.int64)  # the last one stands for both ends
-        weight[place] = rank[pair]
-        chosen = np.flatnonzero((weight[place] > weight[place - 1]) & (weight[place] > weight[place + 1]))
-        uses = np.bincount(pair[chosen], minlength=len(edge))
-        chosen = chosen[uses[pair[chosen]] > 1]
-        made = np.flatnonzero(uses > 1)
-        name = np.zeros(len(edge), dtype=np.int64)
-        name[made] = at + np.arange(len(made))
-        both = np.stack((ordered[edge[made]] >> 32, ordered[edge[made]] & 0xFFFFFFFF), axis=1)
+        rank = np.zeros(len(edge), dtype=np.int32)
+        rank[twice[np.argsort(count[twice], kind="stable")]] = np.arange(1, len(twice) + 1)
+        weight = np.zeros(len(sequence) + 1, dtype=np.int32)  # both ends have none; the pair that begins at i is i + 1
+        weight[1:][place] = np.repeat(rank, count)
+        here = weight[1:-1]
+        hit = np.flatnonzero((here > weight[:-2]) & (here > weight[2:]))
+        uses = np.bincount(here[hit], minlength=len(twice) + 1)
+        hit = hit[uses[here[hit]] > 1]
+        made = twice[uses[rank[twice]] > 1]
+        name = np.zeros(len(twice) + 1, dtype=np.int32)
+        name[rank[made]] = at + np.arange(len(made))
+        both = np.stack((key[edge[made]] >> bits, key[edge[made]] & mask), axis=1)
         grown = _sizes(both, size).sum(1)
-        hit = place[chosen]
-        open_ = weight[:-1] > 0
+        open_ = weight[1:] > 0
         open_[hit] = open_[np.maximum(hit - 1, 0)] = True
-        sequence[hit] = name[pair[chosen]]
+        sequence[hit] = name[here[hit]]
         stays = np.ones(len(sequence), dtype=bool)
         stays[hit + 1] = False
         sequence, open_ = sequence[stays], open_[stays]

@@ -146,6 +146,50 @@ def test_chunks_that_hash_alike_keep_their_own_ids(monkeypatch):
         assert [p.tolist() for p in parts] == [[*lib.encode(x or "", add_special_tokens=False).ids, 2] for x in rows]
 
 
+def test_known_chunks_are_looked_up_not_sorted(monkeypatch):
+    tokenizers = pytest.importorskip("tokenizers")
+    path = tokenizer_path("word_bpe_49k.json")
+    lib = tokenizers.Tokenizer.from_file(path)
+    rows = texts(400, 17)
+    want = [[*lib.encode(x or "", add_special_tokens=False).ids, 2] for x in rows]
+
+    def got(e):
+        ids, n = e.encode(rows, 2)
+        return [p.tolist() for p in np.split(ids, np.cumsum(n)[:-1])]
+
+    e = T.ChunkEncoder(open(path, encoding="utf-8").read())
+    assert got(e) == want
+    handled, unique = [], np.unique
+    with monkeypatch.context() as m:
+        m.setattr(T.np, "unique", lambda x, **how: handled.append(len(x)) or unique(x, **how))
+        assert got(e) == want
+    assert sum(handled) == 0
+    # many small steps: the table grows, slots are shared, and a full memory begins anew
+    step = T.steps
+    monkeypatch.setattr(T, "steps", lambda x: step(x, 300))
+    monkeypatch.setattr(T.Chunks, "hashes", lambda self, own=T.Chunks.hashes: own(self) >> np.uint64(8))
+    for most in (1 << 20, 60):
+        monkeypatch.setattr(T, "CACHE_CHUNKS", most)
+        e = T.ChunkEncoder(open(path, encoding="utf-8").read())
+        assert got(e) == want and got(e) == want
+
+
+def test_chunks_of_other_sizes_hash_apart():
+    # the first eight bytes are one more, the size is one less, the last eight bytes are the same
+    w = T.Chunks([b"b" + b"a" * 14, b"a" * 16, b"b" + b"a" * 30, b"a" * 32])
+    assert len(set(w.hashes().tolist())) == len(w.start) == 4
+
+
+def test_grammar_is_the_same_of_words_that_hold_no_place(monkeypatch):
+    rng = np.random.default_rng(18)
+    for ids in (rng.integers(0, 5, 3000), np.repeat(rng.integers(0, 40, 900), rng.integers(1, 6, 900)), np.full(77, 4), np.arange(9) + T.FIRST_RULE - 9):
+        ids = ids.astype(np.uint32)
+        packed = T.compress(ids)
+        with monkeypatch.context() as m:
+            m.setattr(T, "PACKED_TOKENS", 0)
+            assert all((a == b).all() for a, b in zip(packed, T.compress(ids), strict=True))
+
+
 def test_grammar_leaves_no_pair_twice():
     rng = np.random.default_rng(16)
     for ids in (rng.integers(0, 5, 3000), np.tile(rng.integers(0, 50, 40), 30), np.full(77, 4), np.array([1, 1, 1]), np.array([1, 2, 1, 2])):
