@@ -135,6 +135,17 @@ def test_matches_equal_brute_force(spark):
     assert match.follow_matches(df, cfg).count() == want > 0
 
 
+def test_match_sides_carry_clocks_as_one_offset(spark):
+    rows, df = random_moves(spark, 120, 10)
+    cfg = Config(follow_window=900, dead_band=0)
+    want = sorted((b[5], a[3], ((a[3] - a[4]) - (b[3] - b[4])) / 1000) for a in rows for b in rows if a[0] == b[0] and a[8] == b[8] and a[2] == b[2] and a[1] != b[1] and 0 < b[3] - a[3] <= 900)
+    got = match.follow_matches(df, cfg)
+    assert sorted((r["seq"], r["lead_clk"], r["clock_skew_ms"]) for r in got.collect()) == want
+    # of microseconds only the lag clock and the offset go through the join, so what is shuffled stays small
+    for side in match._sides(df, cfg):
+        assert sum(t == "bigint" for c, t in side.dtypes if c not in ("seq", "bucket")) == 2
+
+
 def test_events_equal_cooled_matches(spark):
     _, df = random_moves(spark, 250, 9)
     key = lambda r: tuple(r[c] for c in (*match.DIRECTED, "ts", "lag_ms", "move_size_bps", "clock_skew_ms"))
