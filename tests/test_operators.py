@@ -146,6 +146,18 @@ def test_match_sides_carry_clocks_as_one_offset(spark):
         assert sum(t == "bigint" for c, t in side.dtypes if c not in ("seq", "bucket")) == 2
 
 
+@pytest.mark.parametrize("dead", [0, 300, 900, 901])
+def test_follows_go_to_few_buckets_and_miss_no_leader(spark, dead):
+    rows, df = random_moves(spark, 400, 11)
+    cfg = Config(follow_window=900, dead_band=dead)
+    want = sorted((b[5], a[3]) for a in rows for b in rows if a[0] == b[0] and a[8] == b[8] and a[2] == b[2] and a[1] != b[1] and max(dead, 1) <= b[3] - a[3] <= 900)
+    assert sorted((r["seq"], r["lead_clk"]) for r in match.follow_matches(df, cfg).collect()) == want
+    lead, foll = match._sides(df, cfg)
+    assert lead.count() == len(rows)
+    # each copy of a follow is shuffled; two of each were
+    assert foll.count() < 1.4 * len(rows)
+
+
 def test_events_equal_cooled_matches(spark):
     _, df = random_moves(spark, 250, 9)
     key = lambda r: tuple(r[c] for c in (*match.DIRECTED, "ts", "lag_ms", "move_size_bps", "clock_skew_ms"))
